@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing
+from . import fingerprints, media, packing, pii
 from .common import documents
 
 
@@ -16,6 +16,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(pii.found_spans(documents(spark, sf_dir)))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_columns(documents(spark, sf_dir)))
 
@@ -24,8 +28,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_media": op6_media, "op9_packing": op9_packing}
+    return {"op4_pii": op4_pii, "op6_media": op6_media, "op9_packing": op9_packing, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
