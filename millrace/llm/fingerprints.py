@@ -7,7 +7,7 @@ document, the canonical bytes themselves are compared, and a bucket that held di
 is parted by them.
 
 Defined results: a null text is empty; repeated rows are fingerprinted each; a null doc_id has
-no next document (its replacement is empty, its likeness to a next one 0); if a doc_id is
+no next document and no group (its replacement is empty, its likeness to a next one 0); if a doc_id is
 repeated, its least text counts as the next document's; an empty table gives an empty table.
 """
 
@@ -57,16 +57,16 @@ def successors(ids: DataFrame) -> DataFrame:
     return dealt.withColumn("lower", F.lead("doc_id").over(inside)).join(F.broadcast(heads), "part").select("doc_id", F.coalesce("lower", "after").alias("next_id"))
 
 
-def groups(docs: DataFrame, known: DataFrame) -> DataFrame:
+def groups(texts: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, group_id): the least doc_id with the same canonical bytes, for documents in buckets of several.
 
-    known: (doc_id, fingerprint) of all rows. Texts are read again only for such buckets; a
+    texts: (doc_id, text) without nulls; known: (doc_id, fingerprint) of all rows. Texts are read again only for such buckets; a
     bucket is proven equal if its least and its greatest canonical text are the same bytes.
     """
     many = known.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
     members = known.join(many, "fingerprint").groupBy("doc_id", "fingerprint").agg(F.count("*").alias("rows"))
-    texts = pick(docs, "doc_id", "text").join(members, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("fingerprint").alias("own"))
-    copies = fingerprinted(texts).where("fingerprint = own").select("doc_id", "fingerprint", "canon")
+    doubtful = texts.join(members, "doc_id").select("doc_id", "text", F.col("fingerprint").alias("own"))
+    copies = fingerprinted(doubtful).where("fingerprint = own").select("doc_id", "fingerprint", "canon")
     buckets = copies.groupBy("fingerprint").agg(F.min("canon").alias("least"), F.max("canon").alias("most"), F.min("doc_id").alias("group_id"))
     buckets = stored(buckets.select("fingerprint", "group_id", (F.col("least") == F.col("most")).alias("same")), "buckets")
     proven = members.join(buckets.where("same"), "fingerprint").select("doc_id", "fingerprint", "group_id")
@@ -80,22 +80,26 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     texts = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = fingerprinted(texts).select("doc_id", "fingerprint", F.char_length("text").cast("long").alias("n_chars"))
     known = stored(known, "fingerprints")
+    # the joins below all read this same table of named documents, so that its texts are dealt once
+    named = texts.where("doc_id is not null")
     ids = known.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_chars").alias("most"), F.min("fingerprint").alias("least_print"))
     asked = successors(ids).join(ids.select("doc_id", F.floor(F.col("most") / 3).cast("int").alias("k")), "doc_id").select(F.col("doc_id").alias("asker"), F.col("next_id"), "k")
-    heads = texts.join(asked, F.col("doc_id") == F.col("next_id")).select("asker", F.substring("text", F.lit(1), F.col("k")).alias("head"))
+    heads = named.join(asked, F.col("doc_id") == F.col("next_id")).select("asker", F.substring("text", F.lit(1), F.col("k")).alias("head"))
     heads = heads.groupBy(F.col("asker").alias("doc_id")).agg(F.min("head").alias("head"))
     next_print = asked.join(ids.select(F.col("doc_id").alias("next_id"), F.col("least_print").alias("next_fingerprint")), "next_id").select(F.col("asker").alias("doc_id"), "next_fingerprint")
-    grouped = groups(docs, known.select("doc_id", "fingerprint"))
+    grouped = groups(named, known.select("doc_id", "fingerprint"))
     grouped = grouped.groupBy(F.col("doc_id").alias("member"), F.col("fingerprint").alias("own")).agg(F.min("group_id").alias("group_id"))
-    out = texts.join(heads, "doc_id", "left").join(next_print, "doc_id", "left")
+    out = named.join(heads, "doc_id", "left").join(next_print, "doc_id", "left")
+    out = out.unionByName(texts.where("doc_id is null"), allowMissingColumns=True)
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     out = out.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("head", F.lit("")), F.lit(1), cut)))
     out = fingerprinted(out).withColumn("edited_canon", canonical("edited")).withColumn("edited_fingerprint", digest("edited_canon"))
-    out = out.join(grouped, (F.col("doc_id") == F.col("member")) & (F.col("fingerprint") == F.col("own")), "left")
     same = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
-    return out.select(
+    out = out.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         same("fingerprint", "edited_fingerprint").alias("near_edited"), same("fingerprint", "next_fingerprint").alias("near_next"),
-        F.coalesce("group_id", "doc_id").alias("group_id"),
     )
+    # only digests take part in this join, no texts
+    out = out.join(grouped, (F.col("doc_id") == F.col("member")) & (F.col("fingerprint") == F.col("own")), "left")
+    return out.withColumn("group_id", F.coalesce("group_id", "doc_id")).drop("member", "own")
