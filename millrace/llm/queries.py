@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, media, packing, pii
+from . import fingerprints, media, packing, pii, simhash
 from .common import documents
 
 
@@ -24,6 +25,11 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_columns(documents(spark, sf_dir)))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), "component_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -33,7 +39,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_pii": op4_pii, "op6_media": op6_media, "op9_packing": op9_packing, "op10_fingerprints": op10_fingerprints}
+    return {"op4_pii": op4_pii, "op6_media": op6_media, "op7_simhash": op7_simhash, "op9_packing": op9_packing, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
