@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, media, packing, pii, simhash
+from . import bpe, fingerprints, media, packing, pii, simhash
 from .common import documents
 
 
@@ -17,6 +17,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encoded(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.found_spans(documents(spark, sf_dir)))
 
@@ -39,7 +45,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_pii": op4_pii, "op6_media": op6_media, "op7_simhash": op7_simhash, "op9_packing": op9_packing, "op10_fingerprints": op10_fingerprints}
+    return {"op3_bpe": op3_bpe, "op4_pii": op4_pii, "op6_media": op6_media, "op7_simhash": op7_simhash, "op9_packing": op9_packing, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
