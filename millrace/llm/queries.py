@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, media, packing, pii, simhash
+from . import bpe, fingerprints, media, packing, pii, simhash, suffix
 from .common import documents
 
 
@@ -36,6 +36,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), "component_id")
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats_removed(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -45,7 +49,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op4_pii": op4_pii, "op6_media": op6_media, "op7_simhash": op7_simhash, "op9_packing": op9_packing, "op10_fingerprints": op10_fingerprints}
+    return {"op3_bpe": op3_bpe, "op4_pii": op4_pii, "op6_media": op6_media, "op7_simhash": op7_simhash, "op8_suffix": op8_suffix, "op9_packing": op9_packing, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
