@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, media, packing, pii, simhash, suffix
+from . import bpe, fingerprints, langid, maxent, media, packing, pii, simhash, suffix
 from .common import documents
 
 
@@ -31,6 +31,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.found_spans(documents(spark, sf_dir)))
 
 
+def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scored(documents(spark, sf_dir))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_columns(documents(spark, sf_dir)))
 
@@ -53,7 +57,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op3_bpe": op3_bpe, "op4_pii": op4_pii, "op6_media": op6_media, "op7_simhash": op7_simhash, "op8_suffix": op8_suffix, "op9_packing": op9_packing, "op10_fingerprints": op10_fingerprints}
+    return {"op1_langid": op1_langid, "op3_bpe": op3_bpe, "op4_pii": op4_pii, "op5_maxent": op5_maxent, "op6_media": op6_media, "op7_simhash": op7_simhash, "op8_suffix": op8_suffix, "op9_packing": op9_packing, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
