@@ -97,23 +97,18 @@ def fingerprints(docs: DataFrame, words_each: int = 4, lanes: int = 1) -> DataFr
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, print binary")
 
 
-def _distances(one: np.ndarray, all_: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(all_ ^ one).sum(axis=1, dtype=np.int64)
-
-
-def spanning_links(nodes: np.ndarray, limit: int, radius: int, depth: int = 0) -> list[tuple[int, int]]:
-    """Links (by index) that join the nodes as all links within `limit` bits would.
+def spanning_links(bits: np.ndarray, limit: int, radius: int, depth: int = 0) -> list[tuple[int, int]]:
+    """Links (by index) that join the members of a bucket as all links within `limit` bits would.
 
     Of any link between two components, one end lies outside the largest component; so it is
-    enough to compare the nodes outside it with all nodes, until each has been compared.
+    enough to compare the members outside it with all members, until each has been compared.
     """
-    m = len(nodes)
+    m = len(bits)
     if m > LARGE and depth < 2:
         links = []
-        for lane in range(nodes.shape[1]):
-            for mask in masks(radius, seed=depth + 2):
-                for run in runs(nodes[:, lane] & mask):
-                    links += [(run[a], run[b]) for a, b in spanning_links(nodes[run], limit, radius, depth + 1)]
+        for mask in masks(radius, seed=depth + 2):
+            for run in runs(bits & mask):
+                links += [(run[a], run[b]) for a, b in spanning_links(bits[run], limit, radius, depth + 1)]
         return links
     label, size = np.arange(m), np.ones(m, np.int64)
     done, links = np.zeros(m, bool), []
@@ -124,7 +119,7 @@ def spanning_links(nodes: np.ndarray, limit: int, radius: int, depth: int = 0) -
             return links
         p = int(todo[0])
         done[p] = True
-        near = np.flatnonzero(_distances(nodes[p], nodes) <= limit)
+        near = np.flatnonzero(np.bitwise_count(bits ^ bits[p]) <= limit)
         others, first = np.unique(label[near], return_index=True)
         for x, i in zip(others.tolist(), near[first].tolist()):
             if x != label[p]:
@@ -142,73 +137,88 @@ def runs(keys: np.ndarray) -> list[np.ndarray]:
     ordered = keys[order]
     cuts = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
     starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
-    return [order[a:b] for a, b in zip(starts.tolist(), ends.tolist()) if b - a > 1]
+    long = np.flatnonzero(ends - starts > 1)
+    return [order[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+
+
+_ENTRY = np.dtype([("bits", "<u8"), ("key", "V8")])
 
 
-def near_links(prints: DataFrame, lanes: int, radius: int, limit: int) -> DataFrame:
-    """Links (u, v) between distinct fingerprints: a spanning forest for each bucket of each table."""
-    spark = prints.sparkSession
-    nodes = stored(prints.select("print").distinct(), "prints")
+def near_links(nodes: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """Links (u, v) between the keys of distinct (key, print) nodes: a spanning forest for each bucket of each table."""
     n = nodes.count()
     table_masks = masks(radius)
     tables = lanes * len(table_masks)
-    parts = max(1, -(-4 * reducers(spark) // tables), n // PACKED)
+    parts = max(1, -(-4 * reducers(nodes.sparkSession) // tables), n // PACKED)
     packed_schema = pa.schema([("part", pa.int32()), ("tab", pa.int32()), ("nodes", pa.binary())])
     link_schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
-    def read(column: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(column), ">u8").reshape(-1, lanes).astype(np.uint64)
-
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            raw = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, 8 * lanes)
-            bits = read(b.column(0).to_pylist())
-            rows = ([], [], [])
-            for t in range(tables):
-                key = bits[:, t // len(table_masks)] & table_masks[t % len(table_masks)]
-                to = (((key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
-                order = np.argsort(to, kind="stable")
-                cuts = np.flatnonzero(np.diff(to[order])) + 1
-                for some in np.split(order, cuts):
-                    rows[0].append(int(to[some[0]]))
-                    rows[1].append(t)
-                    rows[2].append(raw[some].tobytes())
-            yield batch(packed_schema, *rows)
+            keys = np.frombuffer(b"".join(b.column(0).to_pylist()), "V8")
+            bits = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u8").reshape(-1, lanes).astype(np.uint64)
+            for lane in range(lanes):
+                entries = np.empty(len(keys), _ENTRY)
+                entries["bits"], entries["key"] = bits[:, lane], keys
+                rows = ([], [], [])
+                for t, mask in enumerate(table_masks.tolist(), lane * len(table_masks)):
+                    key = bits[:, lane] & np.uint64(mask)
+                    to = (((key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
+                    order = np.argsort(to, kind="stable")
+                    for some in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                        rows[0].append(int(to[some[0]]))
+                        rows[1].append(t)
+                        rows[2].append(entries[some].tobytes())
+                yield batch(packed_schema, *rows)
 
     def link(key: tuple, table: pa.Table) -> pa.Table:
-        t = key[1].as_py()
-        bits = read(table.column("nodes").to_pylist())
-        found = runs(bits[:, t // len(table_masks)] & table_masks[t % len(table_masks)])
+        entries = np.frombuffer(b"".join(table.column("nodes").to_pylist()), _ENTRY)
+        bits = entries["bits"].copy()
         u, v = [], []
-        pairs = [r for r in found if len(r) == 2]
+        pairs = []
+        for r in runs(bits & table_masks[key[1].as_py() % len(table_masks)]):
+            if len(r) == 2:
+                pairs.append(r)
+            elif links := spanning_links(bits[r], radius, radius):
+                a, b = np.array(links).T
+                u.append(r[a])
+                v.append(r[b])
         if pairs:
             a, b = np.array(pairs).T
-            near = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= limit
+            near = np.bitwise_count(bits[a] ^ bits[b]) <= radius
             u.append(a[near])
             v.append(b[near])
-        for r in found:
-            if len(r) > 2 and (links := spanning_links(bits[r], limit, radius)):
-                a, b = np.array(links).T
-                u.append(r[a])
-                v.append(r[b])
-        raw = bits.astype(">u8")
-        out = [[x.tobytes() for x in raw[np.concatenate(w)]] if w else [] for w in (u, v)]
+        out = [[x.tobytes() for x in entries["key"][np.concatenate(w)]] if w else [] for w in (u, v)]
         return pa.Table.from_batches([batch(link_schema, *out)])
 
-    dealt = nodes.mapInArrow(deal, "part int, tab int, nodes binary")
+    dealt = nodes.select("key", "print").mapInArrow(deal, "part int, tab int, nodes binary")
     return dealt.groupBy("part", "tab").applyInArrow(link, "u binary, v binary").distinct()
 
 
+def close_links(links: DataFrame, nodes: DataFrame, limit: int, lanes: int) -> DataFrame:
+    """The links whose prints differ in at most `limit` bits of all lanes."""
+    lane = lambda c, k: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")
+    apart = sum((F.bit_count(lane(F.col("p"), k).bitwiseXOR(lane(F.col("q"), k))) for k in range(lanes)), F.lit(0))
+    one, two = (nodes.select(F.col("key").alias(k), F.col("print").alias(p)) for k, p in (("u", "p"), ("v", "q")))
+    return links.join(one, "u").join(two, "v").where(apart <= limit).select("u", "v")
+
+
 def linked(known: DataFrame, lanes: int = 1, radius: int = 4, limit: int | None = None) -> DataFrame:
-    """(doc_id, print, component_id) for (doc_id, print) rows, a stored table."""
-    roots = components(near_links(known, lanes, radius, radius if limit is None else limit))
-    least = stored(known.groupBy("print").agg(F.min("doc_id").alias("least")), "least")
-    members = roots.union(roots.select("root", "root").distinct()).toDF("print", "root")
-    ids = members.join(least, "print").groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = members.join(ids, "root").select("print", "component_id")
-    labels = stored(least.join(joined, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id")), "labels")
+    """(doc_id, print, component_id) for (doc_id, print) rows, a stored table.
+
+    Fingerprints are linked if they differ in at most radius bits of a lane and, with a limit,
+    in at most limit bits of all lanes.
+    """
+    key = F.col("print") if lanes == 1 else F.unhex(F.lpad(F.hex(F.xxhash64("print")), 16, "0"))
+    least = stored(known.groupBy("print").agg(F.min("doc_id").alias("least")).select(key.alias("key"), "print", "least"), "nodes")
+    links = near_links(least, lanes, radius)
+    roots = components(links if limit is None else close_links(links, least, limit, lanes))
+    members = roots.union(roots.select("root", "root").distinct()).toDF("key", "root")
+    ids = members.join(least, "key").groupBy("root").agg(F.min("least").alias("component_id"))
+    joined = members.join(ids, "root").select("key", "component_id")
+    labels = stored(least.join(joined, "key", "left").select("print", F.coalesce("component_id", "least").alias("component_id")), "labels")
     return known.join(labels, "print").select("doc_id", "print", "component_id")
 
 

@@ -60,7 +60,7 @@ def test_spanning_links_join_as_all_links_would(monkeypatch):
     for _ in range(12):
         centres = [rng.getrandbits(64) for _ in range(4)]
         nodes = list({rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(150)})
-        links = simhash.spanning_links(np.array(nodes, np.uint64)[:, None], 4, 4)
+        links = simhash.spanning_links(np.array(nodes, np.uint64), 4, 4)
         want = brute_components(dict(enumerate(nodes)), 4)
         parent = list(range(len(nodes)))
 
@@ -95,3 +95,20 @@ def test_chains_and_edges(docs_of):
 def test_whole_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     check(rows, simhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).collect())
+
+
+def test_lanes_link_similar_texts_only(docs_of):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, groups = [], {}
+    for g in range(30):
+        base = [word() for _ in range(300)]
+        for _ in range(3):
+            text = base[:]
+            for _ in range(rng.randrange(0, 4)):
+                text[rng.randrange(300)] = word()
+            groups[len(rows)] = g
+            rows.append((len(rows), " ".join(text)))
+    got = simhash.near_duplicates(docs_of(rows), words_each=5, lanes=8, radius=4, limit=85).collect()
+    assert all(groups[r.doc_id] == groups[r.component_id] for r in got)
+    assert len({r.component_id for r in got}) <= 40
