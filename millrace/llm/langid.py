@@ -161,3 +161,29 @@ def identified_with_folds(docs: DataFrame) -> DataFrame:
     train = pick(docs, "doc_id", "text", "lang").where((fold() != 0) & F.col("lang").isNotNull())
     out = identified(docs, *fit(train))
     return out.select("doc_id", F.coalesce(fold() == 0, F.lit(True)).alias("held_out"), "lang_pred", "score", "n_letters")
+
+
+#: Long texts whose best cosine is below this are in none of the languages.
+LEAST_SCORE, LEAST_LETTERS = 0.15, 200
+
+
+def in_known_languages(docs: DataFrame) -> DataFrame:
+    """docs without those that have no letters, or that have many and resemble no language; a missing label is filled in."""
+    names, prototypes = fit(pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()))
+    dimensions = prototypes.shape[1]
+    order = docs.columns
+    text, lang = order.index("text"), order.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, most=1 << 20):
+            vectors, letters = bundled([t or "" for t in b.column(text).to_pylist()], dimensions)
+            cosines = vectors @ prototypes.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9) if names else np.ones((len(letters), 1))
+            stays = (letters > 0) & ((letters < LEAST_LETTERS) | (cosines.max(axis=1) >= LEAST_SCORE))
+            langs = b.column(lang).to_pylist()
+            if names and None in langs:
+                best = cosines.argmax(axis=1).tolist()
+                filled = pa.array([names[k] if x is None else x for x, k in zip(langs, best)], b.schema.field(lang).type)
+                b = b.set_column(lang, b.schema.field(lang), filled)
+            yield b.filter(pa.array(stays))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -225,3 +225,18 @@ def linked(known: DataFrame, lanes: int = 1, radius: int = 4, limit: int | None
 def near_duplicates(docs: DataFrame, words_each: int = 4, lanes: int = 1, radius: int = 4, limit: int | None = None) -> DataFrame:
     """(doc_id, print, component_id) of every document."""
     return linked(stored(fingerprints(docs, words_each, lanes), "fingerprints"), lanes, radius, limit)
+
+
+def distinct(docs: DataFrame, words_each: int = 5, lanes: int = 8, radius: int = 4, limit: int = 85) -> DataFrame:
+    """docs with one document of each near-duplicate group: that with the least doc_id.
+
+    With five-word shingles, texts of a Jaccard similarity s differ in about
+    acos(2 s / (1 + s)) / pi of all bits: 85 of 512 stand for a similarity of 0.78. Pairs meet
+    if any of eight lanes differs in at most 4 bits.
+    """
+    known = near_duplicates(docs, words_each, lanes, radius, limit)
+    # ids that stay; a row of a group without ids, or with a repeated id, is told apart below
+    gone = stored(known.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id").distinct(), "gone")
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    rows, ids = known.where("doc_id is null or doc_id = component_id").agg(F.count("*"), F.countDistinct("doc_id")).first()
+    return left if rows == ids else left.dropDuplicates(["doc_id", "text"]) if known.where("doc_id is null").limit(1).count() else left.dropDuplicates(["doc_id"])

@@ -91,7 +91,7 @@ def test_column_sort_orders_suffixes():
         first = np.cumsum(length) - length
         where = suffix.column_sorted(buf, first, length)
         ends = {int(f + k): t[k:] for f, t in zip(first, texts) for k in range(len(t))}
-        got = [ends[w] for w in where[len(texts) :].tolist()]
+        got = [ends[w] for w in where[len(texts) :].tolist()]  # the empty suffixes come first
         assert got == sorted(ends.values())
 
 
