@@ -38,7 +38,7 @@ CLASSES = 64
 HASHED = 4096  # rows for each kind of feature
 KINDS = 3
 ROUNDS = 3
-SLICE = 1 << 14
+SLICE = 16_000
 RATE = 0.6
 PART = 32 << 20
 _WORD = np.dtype([("a", "<u8"), ("b", "<u4"), ("ending", "u1"), ("n", "<u4")])
@@ -198,19 +198,37 @@ class Ready:
         self.features = np.stack([rows[one].astype(np.int64), HASHED + rows[two].astype(np.int64), 2 * HASHED + c1 * CLASSES + c2], axis=1)
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    logits = weights[features[:, 0]] + bias
+def exponentials(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of each token's classes, their exponentials, and the sums of these."""
+    logits = weights[features[:, 0]]
     for k in range(1, features.shape[1]):
         logits += weights[features[:, k]]
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+    logits += bias
+    np.minimum(logits, 60, out=logits)
+    e = np.exp(logits)
+    return logits, e, e @ np.ones(e.shape[1], np.float32)
+
+
+def log_share(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Log of the probability of each token's class."""
+    logits, _, total = exponentials(weights, bias, features)
+    return logits[np.arange(len(classes)), classes] - np.log(total)
+
+
+def turned(x: np.ndarray, step: int = 128) -> np.ndarray:
+    """The transpose, copied in blocks that fit the cache."""
+    out = np.empty(x.shape[::-1], x.dtype)
+    for a in range(0, len(x), step):
+        out[:, a : a + step] = x[a : a + step].T
+    return out
 
 
 def descend(weights: np.ndarray, seen: np.ndarray, bias: np.ndarray, features: np.ndarray, classes: np.ndarray) -> None:
     """One gradient update from a slice of tokens, in place. A row's step shrinks with the tokens it has seen."""
-    slope = -np.exp(log_softmax(weights, bias, features))
+    _, slope, total = exponentials(weights, bias, features)
+    slope /= -total[:, None]
     slope[np.arange(len(classes)), classes] += 1
+    slope = turned(slope)  # sums along a row of this are fast
     for k in range(features.shape[1]):
         order = np.argsort(features[:, k])
         ordered = features[order, k]
@@ -219,7 +237,7 @@ def descend(weights: np.ndarray, seen: np.ndarray, bias: np.ndarray, features: n
         row = ordered[start]
         seen[row] += n
         step = RATE / (n + 8.0) / np.sqrt(1 + seen[row] / 4096.0)
-        weights[row] += (np.add.reduceat(slope[order], start) * step[:, None]).astype(np.float32)
+        weights[row] += (np.add.reduceat(np.take(slope, order, axis=1), start, axis=1) * step.astype(np.float32)).T
 
 
 _CHANGE = pa.schema([("kind", pa.int32()), ("seen", pa.binary()), ("change", pa.binary())])
@@ -288,8 +306,7 @@ def scored(docs: DataFrame) -> DataFrame:
                 for a in range(0, len(model), SLICE):
                     s = slice(a, a + SLICE)
                     k = r.classes[s]
-                    of_class = log_softmax(weights.value, totals.bias, r.features[s])
-                    model[s] = of_class[np.arange(len(k)), k] + log_count[s] - unit[k]
+                    model[s] = log_share(weights.value, totals.bias, r.features[s], k) + log_count[s] - unit[k]
                 add = lambda x: np.add.reduceat(x, r.first)
                 names = [None if null else i for i, null in zip(r.ids.tolist(), r.nulls.tolist())]
                 base = add(log_count) / math.log(10) - r.lengths * base_unit

@@ -41,8 +41,8 @@ def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     weights = rng.normal(size=(maxent.KINDS * maxent.HASHED, maxent.CLASSES)).astype(np.float32)
     features = rng.integers(0, maxent.HASHED, (50, 3))
-    p = np.exp(maxent.log_softmax(weights, np.zeros(maxent.CLASSES, np.float32), features))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
+    p = [np.exp(maxent.log_share(weights, np.zeros(maxent.CLASSES, np.float32), features, np.full(50, k))) for k in range(maxent.CLASSES)]
+    assert np.allclose(np.sum(p, axis=0), 1, atol=1e-4)
     # in a class, its known words and one unseen word share everything
     totals = maxent.Totals([b'{"n": [%s], "v": [%s], "most": [[7, 1, 2, 0]]}' % (b",".join([b"10"] * 40), b",".join([b"3"] * 40))])
     assert (totals.n, totals.v) == (400, 120) and totals.class_n.sum() == 400 and totals.class_n[maxent.ALONE] == 3
@@ -53,7 +53,7 @@ def test_updates_raise_the_likelihood():
     weights, seen, bias = np.zeros((maxent.KINDS * maxent.HASHED, maxent.CLASSES), np.float32), np.zeros(maxent.KINDS * maxent.HASHED), np.zeros(maxent.CLASSES, np.float32)
     features = rng.integers(0, 20, (4000, 3)) + np.array([0, maxent.HASHED, 2 * maxent.HASHED])
     classes = features[:, 0] % maxent.CLASSES
-    score = lambda: maxent.log_softmax(weights, bias, features)[np.arange(4000), classes].mean()
+    score = lambda: maxent.log_share(weights, bias, features, classes).mean()
     before = score()
     for _ in range(30):
         maxent.descend(weights, seen, bias, features, classes)
