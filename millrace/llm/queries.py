@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, maxent, media, packing, pii, simhash, suffix
+from . import bpe, fingerprints, langid, maxent, media, packing, pii, simhash, suffix, tokencounts
 from .common import documents
 
 
@@ -21,6 +21,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified_with_folds(documents(spark, sf_dir))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.document_counts(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), separator=49407)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,7 +61,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op3_bpe": op3_bpe, "op4_pii": op4_pii, "op5_maxent": op5_maxent, "op6_media": op6_media, "op7_simhash": op7_simhash, "op8_suffix": op8_suffix, "op9_packing": op9_packing, "op10_fingerprints": op10_fingerprints}
+    return {"op1_langid": op1_langid, "op2_token_counts": op2_token_counts, "op3_bpe": op3_bpe, "op4_pii": op4_pii, "op5_maxent": op5_maxent, "op6_media": op6_media, "op7_simhash": op7_simhash, "op8_suffix": op8_suffix, "op9_packing": op9_packing, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
