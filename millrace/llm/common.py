@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,3 +74,28 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+_HELD: dict[str, object] = {}
+
+
+def held(name: str | None = None, make: Callable[[], object] | None = None):
+    """What an operator keeps in a Python worker from task to task, made if need be.
+
+    Workers are reused by other operators; so whatever another one has kept goes first, and
+    freed memory goes back to the system.
+    """
+    for other in [k for k in _HELD if k != name]:
+        del _HELD[other]
+    trim()
+    if name is None:
+        return None
+    if name not in _HELD:
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -1,9 +1,9 @@
 """Removal of byte strings repeated across documents, by column-wise multi-document sorting.
 
-Every 50-byte string of a text is judged by its anchor, the least hashed 16-gram inside it: all
+Every 50-byte string of a text is judged by its anchor, the least hashed 24-gram inside it: all
 its occurrences, in any document, share the anchor's bytes and place. So strings can be dealt
 by anchor, and each deal is a collection of short pieces (an anchor with all strings around it,
-at most 84 bytes). The suffixes of a collection are sorted column-wise: round j inserts the
+at most 76 bytes). The suffixes of a collection are sorted column-wise: round j inserts the
 suffix of length j of every piece into the collection's Burrows-Wheeler transform, at the place
 that symbol counts give, in one sequential pass. Neighbours in the final order that share
 their first 50 bytes are equal strings; their least document is what decides. Bytes decide
@@ -26,7 +26,7 @@ other; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, pick, reducers, stored, text_slices, utf8
+from .common import batch, held, pick, reducers, stored, text_slices, trim, utf8
 
 SPAN = 50  # bytes of a string that counts
-GRAM = 16  # bytes of an anchor
+GRAM = 24  # bytes of an anchor
 #: Bytes of text in a bundle, in a block that is worked on at a time, and of all text for each part of the deal.
-BUNDLE, BLOCK, PART = 8 << 20, 1 << 20, 24 << 20
+BUNDLE, BLOCK, PART = 4 << 20, 1 << 19, 12 << 20
+#: About so many pieces are sorted as one collection; the pieces of an anchor stay together.
+COLLECTION = 5000
 #: One anchor in so many ends a segment.
 CUT = 16
 NO_ID = np.iinfo(np.int64).max
@@ -73,10 +75,11 @@ class Block:
         if n < span:
             return
         h = _LETTERS[self.buf]
-        for k, odd in zip((1, 2, 4, 8), _ODD):
-            h = h[:-k] * odd + h[k:]
+        for k, odd in zip((1, 2, 4, 8), _ODD):  # hashes of 2, 4, 8 and 16 bytes, and of 24 from those of 16 and 8
+            eight, h = h, h[:-k] * odd + h[k:]
             h ^= h >> np.uint64(31)
-        h *= _ODD[4]
+        h = h[:-8] * _ODD[4] + eight[16:]
+        h *= _ODD[0]
         h ^= h >> np.uint64(29)
         least = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
         width = 1
@@ -122,40 +125,56 @@ def blocks(texts: list[bytes], deals: int, span: int) -> Iterator[Block]:
         yield Block(parts, deals, span)
 
 
-def bundles(docs: DataFrame) -> DataFrame:
-    """Documents in bundles: (bundle, bytes, ids, nulls, lengths, body), the body compressed."""
-    schema = pa.schema([("bundle", pa.int64()), ("bytes", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("lengths", pa.binary()), ("body", pa.binary())])
+def bundles(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Documents in bundles: (bundle, bytes, ids, nulls, lengths, body), the body compressed; with carry, also those columns as `rest`."""
+    fields = [("bundle", pa.int64()), ("bytes", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("lengths", pa.binary()), ("body", pa.binary())]
+    schema = pa.schema(fields + [("rest", pa.binary())] * bool(carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        held()
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
         pack = zstandard.ZstdCompressor(level=1).compress
         ids: list = []
         texts: list[bytes] = []
+        rest: list[pa.RecordBatch] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal number, size
             names = np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes()
-            out = batch(schema, [number], [size], [names], [np.array([i is None for i in ids]).tobytes()], [np.array([len(t) for t in texts], "<i8").tobytes()], [pack(b"".join(texts))])
+            out = batch(schema, [number], [size], [names], [np.array([i is None for i in ids]).tobytes()], [np.array([len(t) for t in texts], "<i8").tobytes()], [pack(b"".join(texts))], *([[_as_bytes(rest)]] * bool(carry)))
             number, size = number + 1, 0
             ids.clear()
             texts.clear()
+            rest.clear()
             return out
 
         for b in text_slices(batches, most=BUNDLE):
-            for i, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
+            at = 0
+            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), utf8(b.column(1)))):
                 if size and size + len(t) > BUNDLE:
+                    rest.append(b.slice(at, k - at).select(range(2, b.num_columns)))
+                    at = k
                     yield flush()
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
+            rest.append(b.slice(at).select(range(2, b.num_columns)))
         if ids:
             yield flush()
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "bundle long, bytes long, ids binary, nulls binary, lengths binary, body binary")
+    return pick(docs, "doc_id", "text", *carry).mapInArrow(run, "bundle long, bytes long, ids binary, nulls binary, lengths binary, body binary" + ", rest binary" * bool(carry))
+
+
+def _as_bytes(some: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, some[0].schema) as w:
+        for b in some:
+            w.write_batch(b)
+    return sink.getvalue().to_pybytes()
 
 
 class Bundle:
@@ -195,8 +214,10 @@ def sketch(table: DataFrame, deals: int, span: int) -> DataFrame:
     schema = pa.schema([("deal", pa.int32()), ("bundle", pa.int64()), ("segments", pa.binary()), ("anchors", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         for b in batches:
-            for row in b.to_pylist():
+            for row in (b.slice(k, 1).to_pylist()[0] for k in range(b.num_rows)):
+                trim()
                 bundle = Bundle(row)
                 found = list(blocks(bundle.texts, deals, span))
                 digests, least, which = bundle.least_by_segment(found)
@@ -239,6 +260,7 @@ def _answers(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 def match(key: tuple, table: pa.Table) -> pa.Table:
     """For each bundle: segments that a smaller document has, and anchors that occur in different segments."""
+    held()
     deal, names = key[0].as_py(), table.column("bundle").to_pylist()
     out = []
     blobs = table.column("segments").to_pylist()
@@ -283,6 +305,7 @@ class Judged:
         #: by deal: piece -> its number there, and by number: its least document here
         self.numbers: dict[int, dict[bytes, int]] = {}
         self.least: dict[int, list[int]] = {}
+        self.codes: dict[int, list[int]] = {}
         self.whole: list[np.ndarray] = []  # for each block, runs that are repeated as a whole
         self.open: list[list[tuple[int, int, int, int]]] = []  # for each block: run, deal, number, document
         for b, w in zip(self.found, which):
@@ -293,11 +316,13 @@ class Judged:
             doubt[doubt] = shared[at[doubt]] == b.code[doubt]
             runs = np.flatnonzero(doubt)
             raw, todo = b.buf.tobytes(), []
-            for r, lo, hi, deal, d in zip(runs.tolist(), b.lo[runs].tolist(), b.hi[runs].tolist(), (b.code[runs] >> np.uint64(32)).tolist(), docs[runs].tolist()):
+            for r, lo, hi, code, d in zip(runs.tolist(), b.lo[runs].tolist(), b.hi[runs].tolist(), b.code[runs].tolist(), docs[runs].tolist()):
+                deal = code >> 32
                 numbers, mins = self.numbers.setdefault(deal, {}), self.least.setdefault(deal, [])
                 k = numbers.setdefault(raw[lo : hi + span], len(mins))
                 if k == len(mins):
                     mins.append(d)
+                    self.codes.setdefault(deal, []).append(code & 0xFFFFFFFF)
                 elif d < mins[k]:
                     mins[k] = d
                 todo.append((r, deal, k, d))
@@ -305,16 +330,17 @@ class Judged:
             self.open.append(todo)
 
 
-_PIECES = pa.schema([("deal", pa.int32()), ("bundle", pa.int64()), ("docs", pa.binary()), ("lengths", pa.binary()), ("body", pa.binary())])
+_PIECES = pa.schema([("deal", pa.int32()), ("bundle", pa.int64()), ("docs", pa.binary()), ("codes", pa.binary()), ("lengths", pa.binary()), ("body", pa.binary())])
 
 
 def pieces_of(left: pa.Table, right: pa.Table, deals: int, span: int) -> pa.Table:
+    held()
     rows = left.to_pylist()
     if not rows:
         return _PIECES.empty_table()
     judged = Judged(rows[0], right.to_pylist(), deals, span)
     deal = sorted(judged.numbers)
-    columns = [[np.array(judged.least[d], "<i8").tobytes() for d in deal], [np.array([len(p) for p in judged.numbers[d]], np.uint16).tobytes() for d in deal], [b"".join(judged.numbers[d]) for d in deal]]
+    columns = [[np.array(judged.least[d], "<i8").tobytes() for d in deal], [np.array(judged.codes[d], "<u4").tobytes() for d in deal], [np.array([len(p) for p in judged.numbers[d]], np.uint16).tobytes() for d in deal], [b"".join(judged.numbers[d]) for d in deal]]
     return pa.Table.from_batches([batch(_PIECES, deal, [rows[0]["bundle"]] * len(deal), *columns)])
 
 
@@ -323,89 +349,110 @@ def column_sorted(buf: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.
 
     The transform holds, for each suffix so far, the symbol before it (0: none). Round j puts
     in, for each text, the suffix of length j: its rank is the count of smaller symbols in the
-    transform plus the count of its own first symbol before its shorter suffix.
+    transform plus the count of its own first symbol before its shorter suffix. Walking the
+    finished transform back from the empty suffixes gives the place of every row.
     """
-    step = 128
     alphabet, symbols = np.unique(buf, return_inverse=True)
-    symbols = (symbols + 1).astype(np.uint8) if len(alphabet) < 255 else None
-    if symbols is None:
-        raise ValueError("more than 254 different bytes; part the collection")
-    sigma = len(alphabet) + 1
+    if len(alphabet) > 254:  # UTF-8 has fewer
+        raise ValueError("more than 254 different bytes")
+    symbols = (symbols + 1).astype(np.uint8)
     live = np.flatnonzero(length)
-    end = first + length
+    texts, end = live, first + length
     # round 0: the empty suffixes, in the order of the texts, take the first places
     bwt = symbols[end[live] - 1]
-    where = end[live].astype(np.int64)
-    rank = np.arange(len(live))
-    n_empty, j = len(live), 0
+    rank, j = np.arange(len(live)), 0
     while len(live):
         j += 1
         n = len(bwt)
-        # counts of each symbol before each step of the transform
-        tall = -(-n // step)
-        counts = np.bincount((np.arange(n) // step) * sigma + bwt, minlength=tall * sigma).reshape(tall, sigma)
-        total = counts.sum(axis=0)
-        smaller = np.cumsum(total) - total
-        before = np.cumsum(counts, axis=0) - counts
-        c = bwt[rank].astype(np.int64)
-        block = rank // step
-        padded = np.append(bwt, np.zeros(step, np.uint8))
-        near = np.lib.stride_tricks.sliding_window_view(padded, step)[block * step]
-        inside = ((near == c[:, None].astype(np.uint8)) & (np.arange(step) < (rank % step)[:, None])).sum(axis=1)
+        # a counting sort of the transform counts smaller symbols, and equal ones before a row
+        place = np.empty(n, np.int64)
+        place[np.argsort(bwt, kind="stable")] = np.arange(n)
         # rows of symbol 0 have no longer suffix; the empty suffixes come first
-        new_rank = n_empty + (smaller[c] - total[0]) + before[block, c] + inside
+        new_rank = len(texts) - np.count_nonzero(bwt == 0) + place[rank]
         order = np.argsort(new_rank)
         live, new_rank = live[order], new_rank[order]
-        start = end[live] - j
-        symbol = np.where(length[live] > j, symbols[np.maximum(start - 1, 0)], 0).astype(np.uint8)
-        # new_rank counts in the new transform; the k-th new suffix stands before old row new_rank - k
-        at = new_rank - np.arange(len(live))
-        bwt, where = np.insert(bwt, at, symbol), np.insert(where, at, start)
         more = length[live] > j
+        symbol = np.where(more, symbols[np.maximum(end[live] - j - 1, 0)], 0).astype(np.uint8)
+        # new_rank counts in the new transform; the k-th new suffix stands before old row new_rank - k
+        bwt = np.insert(bwt, new_rank - np.arange(len(live)), symbol)
         live, rank = live[more], new_rank[more]
+    order = np.argsort(bwt, kind="stable")
+    longer = np.empty(len(bwt), np.int64)
+    longer[order] = np.arange(len(bwt)) - np.count_nonzero(bwt == 0) + len(texts)
+    where = np.empty(len(bwt), np.int64)
+    rows = np.arange(len(texts))
+    where[rows] = end[texts]
+    for j in range(1, int(length.max(initial=0)) + 1):
+        go = length[texts] >= j
+        texts, rows = texts[go], longer[rows[go]]
+        where[rows] = end[texts] - j
     return where
 
 
+def least_documents(pieces: list[bytes], least: np.ndarray, span: int) -> np.ndarray:
+    """For each piece (a row) and start, the least document of all pieces that hold the string there."""
+    out = np.full((len(pieces), span - GRAM + 1), NO_ID, np.int64)
+    if not pieces:
+        return out
+    buf = np.frombuffer(b"".join(pieces), np.uint8)
+    length = np.array([len(p) for p in pieces], np.int64)
+    first = np.cumsum(length) - length
+    where = column_sorted(buf, first, length)
+    # suffixes of at least the span, with equal beginnings side by side
+    piece = np.searchsorted(first, where, side="right") - 1
+    long = first[piece] + length[piece] - where >= span
+    where, piece = where[long], piece[long]
+    grams = np.lib.stride_tricks.sliding_window_view(buf, span)
+    new = np.ones(len(where), bool)
+    for a in range(1, len(where), 1 << 16):
+        b = min(len(where), a + (1 << 16))
+        new[a:b] = (grams[where[a:b]] != grams[where[a - 1 : b - 1]]).any(axis=1)
+    group = np.cumsum(new) - 1
+    out[piece, where - first[piece]] = np.minimum.reduceat(least[piece], np.flatnonzero(new))[group]
+    return out
+
+
 def sort_pieces(key: tuple, table: pa.Table, span: int) -> pa.Table:
-    """For each bundle, which strings of its pieces also start in a smaller document (a bit each)."""
+    """For each bundle, which strings of its pieces also start in a smaller document (a bit each).
+
+    An anchor with one kind of piece in all bundles is settled by the piece's least document;
+    the pieces of the other anchors are sorted.
+    """
+    held()
     deal, names = key[0].as_py(), table.column("bundle").to_pylist()
     numbers: dict[bytes, int] = {}
     least: list[int] = []
+    codes: list[int] = []
     of: list[list[int]] = []
     docs = [np.frombuffer(x, "<i8") for x in table.column("docs").to_pylist()]
-    for ds, lengths, body in zip(docs, table.column("lengths").to_pylist(), table.column("body").to_pylist()):
+    for ds, own, lengths, body in zip(docs, *(table.column(n).to_pylist() for n in ("codes", "lengths", "body"))):
         cuts = np.cumsum(np.frombuffer(lengths, np.uint16), dtype=np.int64).tolist()
         mine = []
-        for a, b, d in zip([0, *cuts], cuts, ds.tolist()):
+        for a, b, d, code in zip([0, *cuts], cuts, ds.tolist(), np.frombuffer(own, "<u4").tolist()):
             k = numbers.setdefault(body[a:b], len(least))
             if k == len(least):
                 least.append(d)
+                codes.append(code)
             elif d < least[k]:
                 least[k] = d
             mine.append(k)
         of.append(mine)
-    buf = np.frombuffer(b"".join(numbers), np.uint8)
-    length = np.array([len(p) for p in numbers], np.int64)
-    first = np.cumsum(length) - length
-    where = column_sorted(buf, first, length)
-    # suffixes of at least the span, with equal beginnings side by side
-    piece = np.searchsorted(first, where, side="right") - 1
-    long = first[piece] + length[piece] - where >= span
-    where, piece = where[long], piece[long]
-    grams = np.lib.stride_tricks.sliding_window_view(buf, span)
-    new = np.ones(len(where), bool)
-    for a in range(1, len(where), 1 << 16):
-        b = min(len(where), a + (1 << 16))
-        new[a:b] = (grams[where[a:b]] != grams[where[a - 1 : b - 1]]).any(axis=1)
     least_doc = np.array(least, np.int64)
-    group = np.cumsum(new) - 1
-    mins = np.minimum.reduceat(least_doc[piece], np.flatnonzero(new))[group]
-    smallest = np.full((len(length), 64), NO_ID, np.int64)
-    smallest[piece, where - first[piece]] = mins
-    bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    _, kind, kinds = np.unique(np.array(codes, np.uint32), return_inverse=True, return_counts=True)
+    order = np.argsort(kind, kind="stable")
+    several = order[kinds[kind[order]] > 1]
+    width = span - GRAM + 1
+    smallest = np.repeat(least_doc[:, None], width, axis=1)
+    pieces = list(numbers)
+    # anchors with several kinds of pieces, in collections that start with an anchor
+    cuts = np.flatnonzero(np.diff(kind[several], prepend=-1))
+    cuts = cuts[np.flatnonzero(np.diff(cuts // COLLECTION, prepend=-1))]
+    for some in np.split(several, cuts[1:]):
+        smallest[some] = least_documents([pieces[k] for k in some.tolist()], least_doc[some], span)
+    bit = np.uint64(1) << np.arange(width, dtype=np.uint64)
     out = []
     for name, mine, ds in zip(names, of, docs):
-        bits = np.concatenate([np.where(smallest[mine[a : a + 65536]] < ds[a : a + 65536, None], bit, np.uint64(0)).sum(axis=1, dtype=np.uint64) for a in range(0, len(mine), 65536)])
+        bits = np.concatenate([np.where(smallest[mine[a : a + 8192]] < ds[a : a + 8192, None], bit, np.uint64(0)).sum(axis=1, dtype=np.uint64) for a in range(0, len(mine), 8192)])
         out.append((name, REPEATED, deal, bits.astype("<u8").tobytes()))
     return _answers(out)
 
@@ -413,13 +460,10 @@ def sort_pieces(key: tuple, table: pa.Table, span: int) -> pa.Table:
 _RESULT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 
 
-def judge(left: pa.Table, right: pa.Table, deals: int, span: int, keep: bool) -> pa.Table:
-    """The results of a bundle's documents, from its texts and all answers."""
-    schema = pa.schema(_RESULT + [("kept", pa.binary())] * keep)
-    rows, answers = left.to_pylist(), right.to_pylist()
-    if not rows:
-        return schema.empty_table()
-    judged = Judged(rows[0], answers, deals, span)
+def coverage(row: dict, answers: list[dict], deals: int, span: int) -> tuple[Bundle, list[np.ndarray]]:
+    """A bundle and, for each of its texts, which bytes go."""
+    held()
+    judged = Judged(row, answers, deals, span)
     bits = {a["deal"]: np.frombuffer(a["answer"], "<u8") for a in answers if a["kind"] == REPEATED}
     texts = judged.bundle.texts
     covered = [np.zeros(len(t), bool) for t in texts]
@@ -432,7 +476,7 @@ def judge(left: pa.Table, right: pa.Table, deals: int, span: int, keep: bool) ->
             here = np.array([judged.least[x[1]][x[2]] for x in todo], np.int64)
             got = np.array([bits[x[1]][x[2]] for x in todo], np.uint64)
             got[here < d] = np.uint64(0xFFFFFFFFFFFFFFFF)
-            r, k = np.nonzero((got[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1))
+            r, k = np.nonzero((got[:, None] >> np.arange(span - GRAM + 1, dtype=np.uint64)) & np.uint64(1))
             s = b.lo[run[r]] + k
             s = s[s <= b.hi[run[r]]]
             np.add.at(change, s, 1)
@@ -440,9 +484,20 @@ def judge(left: pa.Table, right: pa.Table, deals: int, span: int, keep: bool) ->
         inside = np.cumsum(change[:-1]) > 0
         for (i, a, part), end in zip(b.parts, b.ends.tolist()):
             covered[i][a : a + len(part)] |= inside[end - len(part) : end]
+    return judged.bundle, covered
+
+
+def judge(left: pa.Table, right: pa.Table, deals: int, span: int, keep: bool) -> pa.Table:
+    """The results of a bundle's documents, from its texts and all answers."""
+    schema = pa.schema(_RESULT + [("kept", pa.binary())] * keep)
+    rows = left.to_pylist()
+    if not rows:
+        return schema.empty_table()
+    bundle, covered = coverage(rows[0], right.to_pylist(), deals, span)
+    texts = bundle.texts
     kept = [np.frombuffer(t, np.uint8)[~c].tobytes() if c.any() else t for t, c in zip(texts, covered)]
     spans = [int(np.count_nonzero(c[1:] & ~c[:-1])) + int(c[0]) if len(c) else 0 for c in covered]
-    names = [None if null else i for i, null in zip(judged.bundle.ids.tolist(), judged.bundle.nulls.tolist())]
+    names = [None if null else i for i, null in zip(bundle.ids.tolist(), bundle.nulls.tolist())]
     columns = [names, [len(t) for t in texts], [len(t) - len(k) for t, k in zip(texts, kept)], spans, [hashlib.sha256(k).hexdigest() for k in kept]]
     return pa.Table.from_batches([batch(schema, *columns, *([kept] * keep))])
 
@@ -450,17 +505,46 @@ def judge(left: pa.Table, right: pa.Table, deals: int, span: int, keep: bool) ->
 def repeats_removed(docs: DataFrame, span: int = SPAN, keep: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with keep, also the kept bytes.
 
-    span: 32 to 60 bytes, so that the strings of an anchor fit into a word of bits.
+    span: 32 to 80 bytes, so that the strings of an anchor fit into a word of bits.
     """
-    if not 32 <= span <= 60:
-        raise ValueError("span must be 32 to 60 bytes")
-    spark = docs.sparkSession
-    table = stored(bundles(docs), "bundles")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep
+    return _with_answers(stored(bundles(docs), "bundles"), span, lambda a, b, deals: judge(a, b, deals, span, keep), schema)
+
+
+def cleaned(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """docs, with all its columns, without the repeated bytes of `text`.
+
+    A character of which only some bytes go is dropped, a null text stays null, and a document
+    of which nothing but white space is left goes, if it had lost something.
+    """
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    flag = "text is null"
+    schema = docs.select(*others, "doc_id", "text").schema
+
+    def finish(left: pa.Table, right: pa.Table, deals: int) -> pa.Table:
+        row = left.to_pylist()[0]
+        rest = pa.ipc.open_stream(row["rest"]).read_all()
+        bundle, covered = coverage(row, right.to_pylist(), deals, span)
+        kept = [np.frombuffer(t, np.uint8)[~c].tobytes().decode("utf-8", "ignore") for t, c in zip(bundle.texts, covered)]
+        stay = [not c.any() or bool(k.strip()) for k, c in zip(kept, covered)]
+        null = rest.column(flag).to_pylist()
+        names = [None if n else i for i, n in zip(bundle.ids.tolist(), bundle.nulls.tolist())]
+        out = rest.drop_columns([flag]).append_column("doc_id", pa.array(names, pa.int64()))
+        out = out.append_column("text", pa.array([None if n else k for k, n in zip(kept, null)], pa.string()))
+        return out.filter(pa.array(stay))
+
+    table = stored(bundles(docs.withColumn(flag, docs["text"].isNull()), (*others, flag)), "bundles")
+    return _with_answers(table, span, finish, schema).select(*docs.columns)
+
+
+def _with_answers(table: DataFrame, span: int, finish: Callable[[pa.Table, pa.Table, int], pa.Table], schema) -> DataFrame:
+    if not 32 <= span <= 80:
+        raise ValueError("span must be 32 to 80 bytes")
+    spark = table.sparkSession
     total = table.agg(F.sum("bytes")).first()[0] or 0
     deals = max(reducers(spark), -(-total // PART))
     first = stored(sketch(table, deals, span).groupBy("deal").applyInArrow(match, ANSWER), "answers")
     by_bundle = lambda x: x.groupBy("bundle")
-    pieces = by_bundle(table).cogroup(by_bundle(first)).applyInArrow(lambda a, b: pieces_of(a, b, deals, span), "deal int, bundle long, docs binary, lengths binary, body binary")
+    pieces = by_bundle(table).cogroup(by_bundle(first)).applyInArrow(lambda a, b: pieces_of(a, b, deals, span), "deal int, bundle long, docs binary, codes binary, lengths binary, body binary")
     second = stored(pieces.groupBy("deal").applyInArrow(lambda k, t: sort_pieces(k, t, span), ANSWER), "answers")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep
-    return by_bundle(table).cogroup(by_bundle(first.union(second))).applyInArrow(lambda a, b: judge(a, b, deals, span, keep), schema)
+    return by_bundle(table).cogroup(by_bundle(first.union(second))).applyInArrow(lambda a, b: finish(a, b, deals), schema)
