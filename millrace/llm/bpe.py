@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch, pick, text_slices
+from .common import batch, held, pick, text_slices
 
 #: Words of more bytes than this contract all occurrences of a pair in one round.
 LONG = 96
@@ -188,23 +188,13 @@ class Bpe:
             yield b"".join(map(self.ids.__getitem__, keys)), b"".join(map(self.texts.__getitem__, keys))
 
 
-_KEPT: dict[tuple[str, str], Bpe] = {}
-
-
-def kept(path: str, pattern: str) -> Bpe:
-    """One for each Python worker, which keeps it from task to task."""
-    if (path, pattern) not in _KEPT:
-        _KEPT[path, pattern] = Bpe(path, pattern)
-    return _KEPT[path, pattern]
-
-
 def encoded(docs: DataFrame, path: str, pattern: str, keep: bool = False) -> DataFrame:
     """Number and digest of each text's ids and digest of what they decode to; with keep, also the ids and the decoded bytes."""
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(fields + [("ids", pa.binary()), ("decoded", pa.binary())] * keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = kept(path, pattern)
+        bpe = held(f"pieces of {path} {pattern}", lambda: Bpe(path, pattern))
         for b in text_slices(batches, most=8 << 20):
             both = list(bpe.encode_decode([t or "" for t in b.column(1).to_pylist()]))
             sha = lambda x: hashlib.sha256(x).hexdigest()

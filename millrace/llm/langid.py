@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, pick, text_slices
+from .common import batch, held, pick, text_slices
 
 DIMENSIONS = 512
 #: About so many documents of each language are learned from.
@@ -29,6 +29,8 @@ SAMPLE = 5000
 FOLDS = 5
 UNKNOWN = "und"
 SHARDS = 8
+#: Texts whose trigrams are counted at a time.
+ROWS = 128
 _IS_LETTER: np.ndarray | None = None
 _VECTORS: dict[int, np.ndarray] = {}
 
@@ -87,9 +89,13 @@ def bundled(texts: list[str], dimensions: int = DIMENSIONS) -> tuple[np.ndarray,
     for a in range(0, len(grams), 8192):
         g = grams[a : a + 8192]
         bound = np.roll(base, 2, axis=1)[g // (n * n)] * np.roll(base, 1, axis=1)[g // n % n] * base[g % n]
-        some = (which >= a) & (which < a + len(g)) if len(grams) > 8192 else slice(None)
-        counts = np.bincount(text[some] * len(g) + (which[some] - a), minlength=len(texts) * len(g)).reshape(len(texts), len(g))
-        out += counts.astype(np.float32) @ bound
+        some = np.flatnonzero((which >= a) & (which < a + len(g))) if len(grams) > 8192 else slice(None)
+        row, column = text[some], which[some] - a
+        for b in range(0, len(texts), ROWS):
+            x, y = np.searchsorted(row, (b, b + ROWS))
+            n_rows = min(ROWS, len(texts) - b)
+            counts = np.bincount((row[x:y] - b) * len(g) + column[x:y], minlength=n_rows * len(g)).reshape(n_rows, len(g))
+            out[b : b + n_rows] += counts.astype(np.float32) @ bound
     return out, letters
 
 
@@ -113,6 +119,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS) ->
     schema = pa.schema([("lang", pa.string()), ("shard", pa.int32()), ("vector", pa.binary())])
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         sums: dict[str, np.ndarray] = {}
         for b in text_slices(batches, most=1 << 20):
             vectors, _ = bundled([t or "" for t in b.column(1).to_pylist()], dimensions)
@@ -142,6 +149,7 @@ def identified(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> Dat
     dimensions = prototypes.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         for b in text_slices(batches, most=1 << 20):
             vectors, letters = bundled([t or "" for t in b.column(1).to_pylist()], dimensions)
             if names:
@@ -175,6 +183,7 @@ def in_known_languages(docs: DataFrame) -> DataFrame:
     text, lang = order.index("text"), order.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         for b in text_slices(batches, most=1 << 20):
             vectors, letters = bundled([t or "" for t in b.column(text).to_pylist()], dimensions)
             cosines = vectors @ prototypes.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9) if names else np.ones((len(letters), 1))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import batch, pick, text_slices, utf8
+from .common import batch, held, pick, text_slices, utf8
 
 CAPACITY = 4096
 END_ID = 2
@@ -81,16 +81,6 @@ class WordEncoder:
         return [b"".join(map(get, ws)) for ws in words]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    """One for each Python worker, which keeps it from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
     """Rows of (document, start, length, sequence, offset) and the number of sequences.
 
@@ -129,7 +119,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = held(f"words of {tokenizer}", lambda: WordEncoder(tokenizer))
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 36
         ids: list[bytes] = []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, pick, reducers, stored, text_slices, utf8
+from .common import batch, held, pick, reducers, stored, text_slices, trim, utf8
 from .components import components
 
 SEED = 42
@@ -88,7 +88,9 @@ def fingerprints(docs: DataFrame, words_each: int = 4, lanes: int = 1) -> DataFr
     seeds = tuple(SEED + k for k in range(lanes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, most=2 << 20):
+        held()
+        for b in text_slices(batches, most=1 << 20):
+            trim()
             each = [shingle_hashes(t, words_each, seeds) for t in utf8(b.column(1))]
             bits = np.stack([majorities([e[k] for e in each]) for k in range(lanes)], axis=1)
             raw = bits.astype(">u8").tobytes()
@@ -154,6 +156,7 @@ def near_links(nodes: DataFrame, lanes: int, radius: int) -> DataFrame:
     link_schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -174,6 +177,7 @@ def near_links(nodes: DataFrame, lanes: int, radius: int) -> DataFrame:
                 yield batch(packed_schema, *rows)
 
     def link(key: tuple, table: pa.Table) -> pa.Table:
+        held()
         entries = np.frombuffer(b"".join(table.column("nodes").to_pylist()), _ENTRY)
         bits = entries["bits"].copy()
         u, v = [], []
