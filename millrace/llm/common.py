@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python operator holds at a time.
 SLICE_BYTES = 8 << 20
@@ -76,6 +77,21 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+#: Parts that a hot key's rows are dealt to in salted_join().
+SALTS = 16
+
+
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """Inner join of rows whose keys may be hot with one row for each key.
+
+    The rows of a key go to SALTS places, by their `spread` column, and the key's one row to all
+    of these.
+    """
+    many = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return many.join(few, [*on, "_salt"]).drop("_salt")
+
+
 _HELD: dict[str, object] = {}
 
 

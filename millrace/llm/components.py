@@ -1,6 +1,6 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is a grouped minimum and an equality join, so that no group meets in one task;
+Every step is a grouped minimum and a salted join, so that no node's links meet in one task;
 edges are written to the shared folder between rounds. Nothing is collected but a count and
 a checksum of each round.
 """
@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import salted_join, stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with m, the least of u and its neighbours."""
     least = edges.groupBy("u").agg(F.min("v").alias("n"))
-    return edges.join(least, "u").select("u", "v", F.least("u", "n").alias("m"))
+    return salted_join(edges, least, ["u"], "v").select("u", "v", F.least("u", "n").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, reducers, stored
+from .common import pick, reducers, salted_join, stored
 
 #: The JVM's own Unicode functions, called by name.
 COMPOSE = "reflect('com.ibm.icu.text.Normalizer', 'compose', {0}, false)"
@@ -64,12 +64,12 @@ def groups(texts: DataFrame, known: DataFrame) -> DataFrame:
     bucket is proven equal if its least and its greatest canonical text are the same bytes.
     """
     many = known.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    members = known.join(many, "fingerprint").groupBy("doc_id", "fingerprint").agg(F.count("*").alias("rows"))
+    members = salted_join(known, many, ["fingerprint"], "doc_id").groupBy("doc_id", "fingerprint").agg(F.count("*").alias("rows"))
     doubtful = texts.join(members, "doc_id").select("doc_id", "text", F.col("fingerprint").alias("own"))
     copies = fingerprinted(doubtful).where("fingerprint = own").select("doc_id", "fingerprint", "canon")
     buckets = copies.groupBy("fingerprint").agg(F.min("canon").alias("least"), F.max("canon").alias("most"), F.min("doc_id").alias("group_id"))
     buckets = stored(buckets.select("fingerprint", "group_id", (F.col("least") == F.col("most")).alias("same")), "buckets")
-    proven = members.join(buckets.where("same"), "fingerprint").select("doc_id", "fingerprint", "group_id")
+    proven = salted_join(members, buckets.where("same"), ["fingerprint"], "doc_id").select("doc_id", "fingerprint", "group_id")
     parted = copies.join(buckets.where("not same").select("fingerprint"), "fingerprint")
     ids = parted.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"))
     return proven.unionByName(parted.join(ids, ["fingerprint", "canon"]).select("doc_id", "fingerprint", "group_id"))
