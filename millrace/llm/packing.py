@@ -28,7 +28,7 @@ from .common import batch, held, pick, text_slices, utf8
 CAPACITY = 4096
 END_ID = 2
 GROUP_TOKENS = 1 << 20
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 CLOSING = re.compile(rb"(?<=[a-z])([.,!?%*&$#:;]+)(?=\s)")
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
