@@ -244,8 +244,8 @@ def distinct(docs: DataFrame, words_each: int = 5, lanes: int = 12, radius: int
 
     With five-word shingles, texts of a Jaccard similarity s differ in about
     acos(2 s / (1 + s)) / pi of all bits: 125 of 768 stand for a similarity of 0.785. Pairs
-    meet if any of twelve lanes differs in at most 4 bits, which about 35 % of pairs of
-    similarity 0.8 do, 92 % of those of 0.9 and nearly all of those of 0.95.
+    meet if any of twelve lanes differs in at most 4 bits, so pairs just above 0.8 can be missed;
+    the README has measured shares.
     """
     known = near_duplicates(docs, words_each, lanes, radius, limit)
     # ids that stay; a row of a group without ids, or with a repeated id, is told apart below
