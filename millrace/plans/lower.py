@@ -170,9 +170,10 @@ class Lowering:
                 raise E.InvalidConditionValue("the list of IN [SELECT ...] needs one column")
             inner = inner.toDF("_in")
             if c.negated:
-                # as SQL has it, a null in the list leaves no row
-                inner = inner.distinct()
-                out = out.join(inner, (found.column == F.col("_in")) | F.col("_in").isNull() | found.column.isNull(), "left_anti")
+                # as SQL has it: a null in the list, or a null compared to a list, is no match, unless the list is empty
+                facts = inner.agg(F.count(F.lit(1)).alias("_all"), F.count("_in").alias("_known"))  # one row
+                out = out.join(inner.where("_in is not null"), found.column == F.col("_in"), "left_anti").crossJoin(F.broadcast(facts))
+                out = out.where((F.col("_all") == 0) | (F.col("_all") == F.col("_known")) & found.column.isNotNull()).drop("_all", "_known")
             else:
                 out = out.join(inner, found.column == F.col("_in"), "left_semi")
         return out

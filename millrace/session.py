@@ -123,7 +123,10 @@ class Session:
         return {n: values.get(n) for n in names}
 
     def persist(self, entity: str, rows: DataFrame | Iterable[dict]) -> None:
-        """Inserts rows; with an id column, a row replaces the one that has its id."""
+        """Inserts rows; with an id column, a row replaces the one that has its id.
+
+        The ids of a DataFrame's rows must be distinct.
+        """
         e = self.catalog[entity]
         if not isinstance(rows, DataFrame):
             rows = [dict(r) for r in rows]
@@ -131,6 +134,8 @@ class Session:
                 without = [r for r in rows if r.get(e.id) is None]
                 for r, k in zip(without, self.next_ids(e, len(without))):
                     r[e.id] = k
+            if e.id and not e.append_only:  # the last of several rows with an id counts
+                rows = list({r.get(e.id): r for r in rows}.values())
             rows = self.spark.createDataFrame([tuple(r.get(n) for n in e.schema.fieldNames()) for r in rows], e.schema)
         elif e.generated:
             raise E.InvalidTableDescription("generated ids are for single rows; give a DataFrame its ids by with_ids()")

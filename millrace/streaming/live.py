@@ -104,6 +104,11 @@ class Stream:
             self.query.processAllAvailable()
         return self.session.spark.table(self.name)
 
+    @property
+    def progress(self) -> list[dict]:
+        """Rows, durations and state sizes of the latest micro-batches."""
+        return [dict(p) for p in self.query.recentProgress]
+
     def stop(self) -> None:
         if self.query:
             self.query.stop()

@@ -45,6 +45,13 @@ def test_nulls(make):
     assert values(s.execute("SELECT COUNT(v) n FROM t WHERE id > 100")) == [(0,)]
 
 
+def test_not_in_select_and_nulls(make):
+    s = make(t=NULLS, u=("x int", None, (), [(1,), (7,)]), n=("x int", None, (), [(1,), (None,)]), e=("x int", None, (), []))
+    ids = lambda table, word: [r[0] for r in values(s.execute(f"SELECT id FROM t WHERE v {word} [SELECT x FROM {table}]"))]
+    assert ids("u", "NOT IN") == [3] and ids("n", "NOT IN") == [] and ids("e", "NOT IN") == [1, 2, 3, 4]
+    assert ids("u", "IN") == [1] and ids("n", "IN") == [1] and ids("e", "IN") == []
+
+
 def test_like_has_no_wildcards_and_names_may_hold_keywords(make):
     s = make(l=("id long, s string", "id", (), [(1, "a%b"), (2, "a_b"), (3, "axb")]), n=("id long, min int, inner string", "id", (), [(1, 5, "in"), (2, 6, "out")]))
     assert values(s.execute("SELECT id FROM l WHERE s like 'a%b'")) == [(1,)]
@@ -246,7 +253,7 @@ def store(spark, tmp_path):
 
 def test_read_your_writes_and_no_dirty_reads(store):
     a, b = store(), store()
-    a.persist("tx", [{"id": 2, "v": 20}, {"id": 4, "v": 4}])
+    a.persist("tx", [{"id": 2, "v": 19}, {"id": 4, "v": 4}, {"id": 2, "v": 20}])
     a.delete("tx", [1])
     assert values(a.table("tx")) == [(2, 20), (3, 3), (4, 4)]
     assert values(b.table("tx")) == [(1, 1), (2, 2), (3, 3)]
