@@ -40,8 +40,10 @@ class Found:
 class Scope:
     """The tables of a statement and what their columns are called."""
 
-    def __init__(self, catalog: Catalog, tables: tuple[S.Table, ...]):
-        self.entities: dict[str, Entity] = {t.alias: catalog[t.name] for t in tables}
+    def __init__(self, catalog: Catalog, tables: tuple[S.Table, ...], view: Callable[[S.Select], DataFrame] | None = None):
+        #: what inline views give
+        self.views: dict[str, DataFrame] = {t.alias: view(t.select) for t in tables if t.select}
+        self.entities: dict[str, Entity] = {t.alias: Entity(t.alias, self.views[t.alias].schema) if t.select else catalog[t.name] for t in tables}
 
     def find(self, name: str, error: type[E.DialectError] = E.InvalidColumnDescription) -> Found:
         head, _, tail = name.rpartition(".")
@@ -68,8 +70,10 @@ class Scope:
 
 
 class Lowering:
-    def __init__(self, catalog: Catalog, read: Callable[[Entity], DataFrame], date_format: str = DATE_FORMAT, strict: bool = False):
+    def __init__(self, catalog: Catalog, read: Callable[[Entity], DataFrame], date_format: str = DATE_FORMAT, strict: bool = False, aggregates: dict[str, Callable[[Column], Column]] | None = None):
         self.catalog, self.read, self.date_format, self.strict = catalog, read, date_format, strict
+        #: a session's own aggregates: from a column to an aggregate of it
+        self.aggregates = aggregates or {}
 
     # -- conditions
 
@@ -136,7 +140,7 @@ class Lowering:
         find = lambda e: self.operand(scope, e)
         semi = [c for c in conjuncts if isinstance(c, S.InSelect)]
         waiting = [(self.tables_of(scope, c), self.condition(c, find), isinstance(c, S.Compare) and c.operator == "=") for c in conjuncts if not isinstance(c, S.InSelect)]
-        frames = {a: scope.renamed(a, self.read(e)) for a, e in scope.entities.items()}
+        frames = {a: scope.renamed(a, scope.views[a] if a in scope.views else self.read(e)) for a, e in scope.entities.items()}
         for a in frames:
             for used, condition, _ in waiting:
                 if used == {a}:
@@ -208,7 +212,7 @@ class Lowering:
                 raise E.InvalidColumnDescription("* stands alone, with one table")
             alias = s.tables[0].alias
             items = tuple(S.Item(S.Column(f"{alias}.{c}"), c) for c in scope.entities[alias].schema.fieldNames())
-        calls = [i.expression for i in items if isinstance(i.expression, S.Call) and i.expression.function in S.AGGREGATES]
+        calls = [i.expression for i in items if self.is_call(i)]
         plain = []
         for i in items:
             e = i.expression
@@ -242,6 +246,8 @@ class Lowering:
         if isinstance(e.argument, S.Star):
             return aggregate("COUNT", None, None)
         found = scope.find(e.argument.name)
+        if e.function in self.aggregates:
+            return self.aggregates[e.function](found.column)
         order = F.struct(*[F.col(f"`{c}`") for c in scope.sequence(found.alias)]) if e.function == "LAST" else None
         return aggregate(e.function, found.column, found.kind, order)
 
@@ -249,10 +255,10 @@ class Lowering:
         return self.operand(scope, i.expression)[0].alias(i.name)
 
     def is_call(self, i: S.Item) -> bool:
-        return isinstance(i.expression, S.Call) and i.expression.function in S.AGGREGATES
+        return isinstance(i.expression, S.Call) and i.expression.function not in S.SCALARS
 
     def select(self, s: S.Select) -> DataFrame:
-        scope = Scope(self.catalog, s.tables)
+        scope = Scope(self.catalog, s.tables, self.select)
         items = self.checked(scope, s)
         rows = self.joined(scope, s.where)
         if s.window:
@@ -331,7 +337,8 @@ class Lowering:
                     out.append(F.count(F.lit(1)).over(window).alias(i.name))
                 else:
                     found = scope.find(e.argument.name)
-                    out.append(windowed(e.function, found.column, found.kind, window).alias(i.name))
+                    own = self.aggregates.get(e.function)
+                    out.append((own(found.column).over(window) if own else windowed(e.function, found.column, found.kind, window)).alias(i.name))
             return out
 
         return arrival.row_windows(rows, scope.sequence(alias), s.window[1], build)

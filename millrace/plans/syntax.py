@@ -96,6 +96,7 @@ class Xor:
 class Table:
     name: str
     alias: str
+    select: Select | None = None  # an inline view
 
 
 @dataclass(frozen=True)

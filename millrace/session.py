@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from . import errors as E
@@ -31,6 +31,7 @@ class Session:
         self.date_format, self.strict = date_format, strict
         self.store = Store(spark, path) if path else None
         self.processors: dict[str, type] = {}
+        self.aggregates: dict[str, Callable[[Column], Column]] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -63,11 +64,17 @@ class Session:
         return self.store.read(self.files(entity), entity.schema)
 
     def lowering(self) -> Lowering:
-        return Lowering(self.catalog, self.table, self.date_format, self.strict)
+        return Lowering(self.catalog, self.table, self.date_format, self.strict, self.aggregates)
+
+    def register_aggregate(self, name: str, build: Callable[[Column], Column]) -> None:
+        """An aggregate of this session's batch statements: from a column to an aggregate of it."""
+        if name.upper() in S.FUNCTIONS:
+            raise ValueError(f"{name} is built in")
+        self.aggregates[name.upper()] = build
 
     def execute(self, text: str):
         """SELECT gives a DataFrame, SELECT STREAM a live.Stream, PROCESS the table's rows after it; COMMIT and ROLLBACK give None."""
-        statement = parse(text, self.strict)
+        statement = parse(text, self.strict, self.aggregates)
         if isinstance(statement, S.Commit):
             return self.commit()
         if isinstance(statement, S.Rollback):
@@ -80,7 +87,7 @@ class Session:
 
     def replay(self, text: str) -> DataFrame:
         """What a SELECT STREAM statement gives for the rows so far, in batch form."""
-        statement = parse(text, self.strict)
+        statement = parse(text, self.strict, self.aggregates)
         if not isinstance(statement, S.Select) or not statement.stream:
             raise E.InvalidSQLStatement("SELECT STREAM was expected")
         return self.lowering().replayed(statement)

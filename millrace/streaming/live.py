@@ -37,13 +37,18 @@ def source(session, entity: Entity, path: str | None = None, files_each: int = 1
 
 
 class Stream:
-    """A continuous query; start it with a sink of the given kind."""
+    """A continuous query; start it with a sink of the given kind.
+
+    The first table is followed; others are joined to it as they are when the query starts.
+    """
 
     def __init__(self, session, statement: S.Select):
         if statement.order or statement.limit is not None or statement.distinct or statement.having is not None:
             raise E.InvalidSQLStatement("a stream has no ORDER BY, LIMIT, DISTINCT or HAVING")
-        if len(statement.tables) > 1:
-            raise E.InvalidSQLStatement("a stream takes one table")
+        if len(statement.tables) > 1 and (statement.group or statement.window):
+            raise E.InvalidSQLStatement("a grouped stream takes one table")
+        if any(t.select for t in statement.tables):
+            raise E.InvalidSQLStatement("a stream has no inline views")
         self.session, self.statement = session, statement
         self.scope = Scope(session.catalog, statement.tables)
         self.query = None
@@ -55,7 +60,7 @@ class Stream:
         alias = s.tables[0].alias
         low = self.session.lowering()
         items = low.checked(scope, s)
-        low.read = lambda entity: source(self.session, entity, path, files_each)
+        low.read = lambda entity: source(self.session, entity, path, files_each) if entity is scope.entities[alias] else self.session.table(entity)
         rows = low.joined(scope, s.where)
         if not s.window and not s.group:
             if any(low.is_call(i) for i in items):
@@ -68,6 +73,8 @@ class Stream:
             if isinstance(e, S.Call) and not call:
                 raise E.InvalidColumnDescription("a grouped stream has no scalar functions")
             star = call and isinstance(e.argument, S.Star)
+            if call and e.function not in S.AGGREGATES:
+                raise E.InvalidColumnDescription("a stream has the built-in aggregates only")
             found = None if star else scope.find(e.argument.name if call else e.name)
             outputs.append((i.name, e.function if call else None, None if star else f"{found.alias}{MARK}{found.name}", not star and is_integral(found.kind)))
             kind = LongType() if star or call and e.function == "COUNT" else found.kind

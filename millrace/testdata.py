@@ -53,6 +53,10 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "in_strings": ("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ['1-URGENT','2-HIGH']", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"),
     "in_select": ("SELECT c_custkey FROM customer WHERE c_nationkey IN [SELECT n_nationkey FROM nation WHERE n_regionkey = 2]", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)"),
     "not_in_select": ("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN [SELECT n_nationkey FROM nation WHERE n_regionkey = 2]", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)"),
+    "inline_view": (
+        "SELECT n_name, v.n customers FROM nation, (SELECT c_nationkey k, COUNT(*) n FROM customer GROUP BY c_nationkey) v WHERE n_nationkey = v.k",
+        "SELECT n_name, n AS customers FROM nation, (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey) WHERE n_nationkey = k",
+    ),
     "date_eq": ("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate = '03.10.1998'", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate = TIMESTAMP '1998-10-03'"),
     "date_in": ("SELECT o_orderkey FROM orders WHERE o_orderdate IN ['03.10.1998', '01.02.1997']", "SELECT o_orderkey FROM orders WHERE o_orderdate IN (TIMESTAMP '1998-10-03', TIMESTAMP '1997-02-01')"),
     "date_range": ("SELECT o_orderkey FROM orders WHERE o_orderdate >= '01.01.1997' AND o_orderdate < '01.02.1997'", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-02-01'"),

@@ -227,6 +227,30 @@ def test_stream_goes_on_after_a_restart(spark, sf, tmp_path):
     assert values(spark.read.parquet(out)) == sorted([(r.event_id, 4) for r in rows[:27]], key=repr)
 
 
+def test_stream_joined_to_a_table(spark, sf):
+    s = testdata.session(spark, sf)
+    text = "SELECT STREAM event_id, c_name FROM events, customer WHERE user_id = c_custkey AND event_type = 'purchase'"
+    live = s.execute(text).start(once=True)
+    assert values(live.results()) == values(s.replay(text)) and live.results().count() > 0 and live.progress
+
+
+def test_inline_view_and_own_aggregate(spark, sf):
+    from pyspark.sql import functions as F
+
+    s = testdata.session(spark, sf)
+    s.register_aggregate("spread", lambda c: F.max(c) - F.min(c))
+    got = s.execute("SELECT n_name, v.n FROM nation, (SELECT c_nationkey k, COUNT(*) n FROM customer GROUP BY c_nationkey) v WHERE n_nationkey = v.k AND v.n > 5")
+    duck = duckdb.sql(f"SELECT n_name, n FROM '{sf}/nation.parquet', (SELECT c_nationkey k, count(*) n FROM '{sf}/customer.parquet' GROUP BY 1) WHERE n_nationkey = k AND n > 5")
+    assert values(got) == sorted(duck.fetchall(), key=repr)
+    got = s.execute("SELECT o_orderstatus, SPREAD(o_custkey) d, COUNT(*) n FROM orders GROUP BY o_orderstatus")
+    duck = duckdb.sql(f"SELECT o_orderstatus, max(o_custkey) - min(o_custkey), count(*) FROM '{sf}/orders.parquet' GROUP BY 1")
+    assert values(got) == sorted(duck.fetchall(), key=repr)
+    with pytest.raises(ValueError):
+        s.register_aggregate("sum", F.sum)
+    with pytest.raises(E.InvalidTableDescription):
+        s.execute("SELECT a FROM (COMMIT) v")
+
+
 def test_streams_have_no_order(spark, sf):
     with pytest.raises(E.InvalidSQLStatement):
         testdata.session(spark, sf).execute("SELECT STREAM event_id FROM events ORDER BY event_id")
