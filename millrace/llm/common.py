@@ -85,11 +85,12 @@ def salted_join(many: DataFrame, few: DataFrame, on: list[str], spread: str) ->
     """Inner join of rows whose keys may be hot with one row for each key.
 
     The rows of a key go to SALTS places, by their `spread` column, and the key's one row to all
-    of these.
+    of these. Neither side is broadcast: copies of a row compress so well that a shuffle's size
+    says little about them.
     """
     many = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
     few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return many.join(few, [*on, "_salt"]).drop("_salt")
+    return many.join(few.hint("merge"), [*on, "_salt"]).drop("_salt")
 
 
 _HELD: dict[str, object] = {}

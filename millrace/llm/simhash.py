@@ -1,8 +1,8 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
 A fingerprint has one or more 64-bit lanes; a lane's bit is the majority of that bit over the
-XXH64 of all word shingles, repeats included. Each lane's bits get distinct vectors of r + 1
-bits; a table's mask keeps the bits whose vector has an odd product with the table's own
+XXH64 of all word shingles, repeats included. A lane's bits get vectors of r + 1 bits, each
+vector about as often as any other; a table's mask keeps the bits whose vector has an odd product with the table's own
 vector. Any r differing bits leave some table's mask untouched by all of them, so every pair
 within radius r of a lane meets in a table of it: none is missed.
 
