@@ -34,15 +34,23 @@ SEED = 42
 LARGE = 4096
 #: About so many nodes stand in one packed array of a table.
 PACKED = 200_000
-
-
-def masks(radius: int, seed: int = 1) -> np.ndarray:
-    """The covering masks of 64 bits: 2 ** (radius + 1) - 1 of them."""
+#: distinct() links sets of shingles from this Jaccard similarity on.
+LEAST_ALIKE = 0.8
+#: Its prints have so many words of 64 bits; each lane draws 64 of their bits and masks the first COVERED of them.
+WORDS, LANES, COVERED = 16, 96, 36
+#: Alike sets differ in at most so many bits of a lane that they meet in, and of all of the print (15 % on average).
+FAR, LIMIT = 14, 240
+#: Buckets up to this size give all their pairs; in larger ones a member gives a pair in one of TURNS tables.
+SMALL, TURNS = 64, 16
+
+
+def masks(radius: int, seed: int = 1, width: int = 64) -> np.ndarray:
+    """The covering masks of the low `width` bits: 2 ** (radius + 1) - 1 of them."""
     top = 1 << (radius + 1)
     rng = np.random.default_rng(seed * 1000 + radius)
-    deck = np.concatenate([rng.permutation(np.arange(1, top)) for _ in range(-(-64 // (top - 1)))])[:64]
+    deck = np.concatenate([rng.permutation(np.arange(1, top)) for _ in range(-(-width // (top - 1)))])[:width]
     odd = np.bitwise_count(np.arange(1, top)[:, None] & deck[None, :]) & 1
-    return (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return (odd.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 def shingle_hashes(text: bytes, words_each: int) -> np.ndarray:
@@ -151,6 +159,14 @@ def runs(keys: np.ndarray) -> list[np.ndarray]:
     return [order[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist())]
 
 
+def dealt_to(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The parts that the keys' hashes name, each with the indices dealt to it."""
+    to = (((keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
+    order = np.argsort(to, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+        yield int(to[some[0]]), some
+
+
 _ENTRY = np.dtype([("bits", "<u8"), ("key", "V8")])
 
 
@@ -175,11 +191,8 @@ def near_links(nodes: DataFrame, lanes: int, radius: int) -> DataFrame:
                 entries["bits"], entries["key"] = bits[:, lane], keys
                 rows = ([], [], [])
                 for t, mask in enumerate(table_masks.tolist(), lane * len(table_masks)):
-                    key = bits[:, lane] & np.uint64(mask)
-                    to = (((key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
-                    order = np.argsort(to, kind="stable")
-                    for some in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                        rows[0].append(int(to[some[0]]))
+                    for to, some in dealt_to(bits[:, lane] & np.uint64(mask), parts):
+                        rows[0].append(to)
                         rows[1].append(t)
                         rows[2].append(entries[some].tobytes())
                 yield batch(packed_schema, *rows)
@@ -239,15 +252,212 @@ def near_duplicates(docs: DataFrame, words_each: int = 4, lanes: int = 1, radius
     return linked(stored(fingerprints(docs, words_each, lanes), "fingerprints"), lanes, radius, limit)
 
 
-def distinct(docs: DataFrame, words_each: int = 5, lanes: int = 12, radius: int = 4, limit: int = 125) -> DataFrame:
+def sketches(docs: DataFrame, words_each: int) -> DataFrame:
+    """(doc_id, copy, key, print, shingles) of each text: a hash of its bytes and one of its set of shingles, WORDS lanes over that set, and the set in 32 bits each."""
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("key", pa.binary()), ("print", pa.binary()), ("shingles", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        held()
+        for b in text_slices(batches, most=1 << 20):
+            trim()
+            each = [np.unique(shingle_hashes(t, words_each)) for t in utf8(b.column(1))]
+            flat, sizes = np.concatenate(each), np.array([len(h) for h in each], dtype=np.int64)
+            raw = np.stack([majorities(lane_hashes(flat, k), sizes) for k in range(WORDS)], axis=1).astype(">u8").tobytes()
+            keys = [xxhash.xxh64_digest(h.tobytes(), seed=SEED) for h in each]
+            sets = [np.unique((h >> np.uint64(32)).astype("<u4")).tobytes() for h in each]
+            yield batch(schema, b.column(0), b.column(2), keys, [raw[i : i + 8 * WORDS] for i in range(0, len(raw), 8 * WORDS)], sets)
+
+    rows = docs.select(docs["doc_id"], docs["text"], F.xxhash64(docs["text"]).alias("copy"))
+    return rows.mapInArrow(run, "doc_id long, copy long, key binary, print binary, shingles binary")
+
+
+def lane_bits(prints: list[bytes]) -> Iterator[np.ndarray]:
+    """For each of LANES lanes, 64 bits drawn from each print's bits."""
+    bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(-1, 8 * WORDS), axis=1).T.copy()
+    for lane in range(LANES):
+        drawn = np.random.default_rng([SEED, lane]).choice(64 * WORDS, 64, replace=False)
+        yield np.packbits(bits[drawn], axis=0, bitorder="little").T.copy().view("<u8").ravel()
+
+
+def bounded(bits: np.ndarray, members: np.ndarray, depth: int = 0) -> list[np.ndarray]:
+    """The members of a bucket, in parts by ten further bits at a time, eight times over, if there are more than LARGE."""
+    if len(members) <= LARGE or depth > 1:
+        return [members]
+    out = []
+    for k in range(8):
+        drawn = np.random.default_rng([SEED, depth, k]).choice(np.arange(COVERED, 64), 10, replace=False)
+        mask = np.bitwise_or.reduce(np.uint64(1) << drawn.astype(np.uint64))
+        for r in runs(bits[members] & mask):
+            out += bounded(bits, members[r], depth + 1)
+    return out
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """What may be alike of distinct (key, print) nodes: pairs (u, v), and members u of large buckets g.
+
+    A bucket's pairs are all given if it has at most SMALL members. Of a larger one all members
+    are given, and now and then a member with the nearest other one.
+    """
+    n = nodes.count()
+    table_masks = masks(1, width=COVERED)
+    tables = LANES * len(table_masks)
+    parts = max(1, -(-4 * reducers(nodes.sparkSession) // tables), n // PACKED)
+    packed_schema = pa.schema([("part", pa.int32()), ("tab", pa.int32()), ("nodes", pa.binary())])
+    found_schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("g", pa.int64())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            entries = np.empty(b.num_rows, _ENTRY)
+            entries["key"] = np.frombuffer(b"".join(b.column(0).to_pylist()), "V8")
+            for lane, bits in enumerate(lane_bits(b.column(1).to_pylist())):
+                entries["bits"] = bits
+                rows = ([], [], [])
+                for t, mask in enumerate(table_masks, lane * len(table_masks)):
+                    for to, some in dealt_to(bits & mask, parts):
+                        rows[0].append(to)
+                        rows[1].append(t)
+                        rows[2].append(entries[some].tobytes())
+                yield batch(packed_schema, *rows)
+
+    def find(key: tuple, table: pa.Table) -> pa.Table:
+        import xxhash
+
+        held()
+        t = key[1].as_py()
+        entries = np.frombuffer(b"".join(table.column("nodes").to_pylist()), _ENTRY)
+        bits, keys = entries["bits"].copy(), entries["key"].copy()
+        turn = keys.view("<u8") % np.uint64(TURNS) == t % TURNS
+        pairs, groups = [np.zeros((0, 2), np.int64)], []
+        for r in runs(bits & table_masks[t % len(table_masks)]):
+            if len(r) <= SMALL:
+                pairs.append(r[_upper(len(r))])
+                continue
+            for g in bounded(bits, r):
+                groups.append(g[np.argsort(keys[g].view(">u8"))])
+                for i in np.flatnonzero(turn[g]).tolist():
+                    apart = np.bitwise_count(bits[g] ^ bits[g[i]])
+                    apart[i] = 255
+                    pairs.append(np.array([[g[i], g[int(np.argmin(apart))]]]))
+        a, b = np.concatenate(pairs).T
+        near = np.bitwise_count(bits[a] ^ bits[b]) <= FAR
+        u, v = ([x.tobytes() for x in keys[w[near]]] for w in (a, b))
+        one, two = [min(x, y) for x, y in zip(u, v)], [max(x, y) for x, y in zip(u, v)]
+        out = [batch(found_schema, one, two, [None] * len(one))]
+        for g in groups:
+            name = xxhash.xxh64_intdigest(keys[g].tobytes()) - (1 << 63)
+            out.append(batch(found_schema, [x.tobytes() for x in keys[g]], [None] * len(g), [name] * len(g)))
+        return pa.Table.from_batches(out)
+
+    dealt = nodes.select("key", "print").mapInArrow(deal, "part int, tab int, nodes binary")
+    return dealt.groupBy("part", "tab").applyInArrow(find, "u binary, v binary, g long").distinct()
+
+
+@functools.cache
+def _upper(m: int) -> np.ndarray:
+    """All pairs of m indices."""
+    return np.stack(np.triu_indices(m, 1), axis=1)
+
+
+def alike(common, size, other):
+    """Whether sets of these sizes with so many common members have a Jaccard similarity of LEAST_ALIKE."""
+    return common >= LEAST_ALIKE * (size + other - common) - 1e-9
+
+
+def alike_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles are alike."""
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
+        for b in batches:
+            keep = []
+            for p, q in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(w.as_buffer(), "<u4") for w in (p, q))
+                keep.append(bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], schema=schema).filter(pa.array(keep, pa.bool_()))
+
+    one, two = (sets.select(F.col("key").alias(k), F.col("shingles").alias(s)) for k, s in (("u", "p"), ("v", "q")))
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "p", "q").mapInArrow(run, "u binary, v binary")
+
+
+def alike_links(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
+    """Links (by index) that join the sets of a bucket, which have these labels already, as all links between alike sets would."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    label, size = label.copy(), np.bincount(label, minlength=len(sets))
+    done, links = np.zeros(len(sets), bool), []
+    while len(todo := np.flatnonzero(~done & (label != np.argmax(size)))) or (size.max() == 1 and not done.all()):
+        p = int(todo[0]) if len(todo) else int(np.flatnonzero(~done)[0])
+        done[p] = True
+        has = np.zeros(len(values), bool)
+        has[ids[ends[p] - sizes[p] : ends[p]]] = True
+        sums = np.append(0, np.cumsum(has[ids]))
+        near = np.flatnonzero(alike(sums[ends] - sums[ends - sizes], sizes, sizes[p]))
+        others, first = np.unique(label[near], return_index=True)
+        for x, i in zip(others.tolist(), near[first].tolist()):
+            if x != label[p]:
+                links.append((p, i))
+                mine = int(label[p])
+                size[mine] += size[x]
+                size[x] = 0
+                label[label == x] = mine
+    return links
+
+
+def bucket_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between alike sets of each bucket, for members (g, u, c) of component c so far."""
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+
+    def link(table: pa.Table) -> pa.Table:
+        held()
+        keys = table.column("u").to_pylist()
+        _, label = np.unique(np.array(table.column("c").to_pylist(), "V8").view(">u8"), return_inverse=True)
+        links = alike_links([np.frombuffer(x, "<u4") for x in table.column("shingles").to_pylist()], label)
+        return pa.Table.from_batches([batch(schema, [keys[a] for a, _ in links], [keys[b] for _, b in links])])
+
+    joined = members.join(sets.select(F.col("key").alias("u"), "shingles"), "u").select("g", "u", "c", "shingles")
+    return joined.groupBy("g").applyInArrow(link, "u binary, v binary")
+
+
+def alike_components(known: DataFrame) -> DataFrame:
+    """(node, root) as components() gives it, for all links between alike sets that meet in a bucket."""
+    nodes = stored(known.groupBy("key").agg(F.first("print").alias("print")), "nodes")
+    found = stored(candidates(nodes), "candidates")
+    pairs = stored(close_links(found.where("v is not null").select("u", "v"), nodes, LIMIT, WORDS), "pairs")
+    wide = found.where("v is null").select("g", "u")
+    used = pairs.select("u").union(pairs.select("v")).union(wide.select("u")).distinct().toDF("key")
+    sets = stored(known.select("key", "shingles").join(used, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    links = stored(alike_pairs(pairs, sets), "links")
+    roots = components(links)
+    if wide.limit(1).count():
+        members = stored(wide.join(roots, wide["u"] == roots["node"], "left").select("g", "u", F.coalesce("root", "u").alias("c")), "buckets")
+        mixed = members.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("g")
+        roots = components(links.union(bucket_links(members.join(mixed, "g"), sets)))
+    return roots
+
+
+def distinct(docs: DataFrame, words_each: int = 5) -> DataFrame:
     """docs with one document of each near-duplicate group: that with the least doc_id.
 
-    With five-word shingles, texts of a Jaccard similarity s differ in about
-    acos(2 s / (1 + s)) / pi of all bits: 125 of 768 stand for a similarity of 0.785. Pairs
-    meet if any of twelve lanes differs in at most 4 bits, so pairs just above 0.8 can be missed;
-    the README has measured shares.
+    Documents are linked if their sets of five-word shingles have a Jaccard similarity of at
+    least 0.8. Sets of a similarity s differ in about acos(2 s / (1 + s)) / pi of their prints'
+    bits, 15 % at 0.8; pairs are compared if they meet in some bucket of 96 lanes, which about
+    99 % do at 0.8 and more above; the README has measured shares.
     """
-    known = near_duplicates(docs, words_each, lanes, radius, limit)
+    known = stored(sketches(docs, words_each), "sketches")
+    roots = alike_components(known)
+    members = roots.union(roots.select("root", "root").distinct()).toDF("key", "root")
+    least = known.groupBy("key").agg(F.min("doc_id").alias("least"))
+    ids = members.join(least, "key").groupBy("root").agg(F.min("least").alias("component_id"))
+    joined = members.join(ids, "root").select("key", "component_id")
+    labels = stored(least.join(joined, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id")), "labels")
+    known = known.join(labels, "key").select("doc_id", "component_id")
     # ids that stay; a row of a group without ids, or with a repeated id, is told apart below
     gone = stored(known.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id").distinct(), "gone")
     left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")

@@ -112,3 +112,24 @@ def test_lanes_link_similar_texts_only(docs_of):
     got = simhash.near_duplicates(docs_of(rows), words_each=5, lanes=8, radius=4, limit=85).collect()
     assert all(groups[r.doc_id] == groups[r.component_id] for r in got)
     assert len({r.component_id for r in got}) <= 40
+
+
+def changed(base, places, tag):
+    """base with the words at these places replaced by new ones."""
+    out = base[:]
+    for i in places:
+        out[i] = f"{tag}x{i}"
+    return out
+
+
+def test_distinct_joins_pairs_of_a_similarity_from_0_8(docs_of):
+    rows, like, unlike = [], [], []
+    for g in range(120):
+        base = ["g%dw%d" % (g, i) for i in range(200)]
+        # each changed word takes 5 of 196 shingles: a similarity of 0.815, or of 0.742
+        n = 4 if g < 90 else 6
+        (like if n == 4 else unlike).append(2 * g + 1)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(changed(base, range(10, 10 + 20 * n, 20), "c")))]
+    kept = {r.doc_id for r in simhash.distinct(docs_of(rows)).collect()}
+    assert {r[0] for r in rows if r[0] % 2 == 0} <= kept and set(unlike) <= kept
+    assert len(kept & set(like)) <= 4
