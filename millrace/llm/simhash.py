@@ -115,8 +115,8 @@ def fingerprints(docs: DataFrame, words_each: int = 4, lanes: int = 1) -> DataFr
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, print binary")
 
 
-def spanning_links(bits: np.ndarray, limit: int, radius: int, depth: int = 0) -> list[tuple[int, int]]:
-    """Links (by index) that join the members of a bucket as all links within `limit` bits would.
+def spanning_links(bits: np.ndarray, limit: int, radius: int, depth: int = 0, whole: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
+    """Links (by index) that join the members of a bucket as all links within `limit` bits, and within `most` of whole prints if given, would.
 
     Of any link between two components, one end lies outside the largest component; so it is
     enough to compare the members outside it with all members, until each has been compared.
@@ -126,7 +126,7 @@ def spanning_links(bits: np.ndarray, limit: int, radius: int, depth: int = 0) ->
         links = []
         for mask in masks(radius, seed=depth + 2):
             for run in runs(bits & mask):
-                links += [(run[a], run[b]) for a, b in spanning_links(bits[run], limit, radius, depth + 1)]
+                links += [(run[a], run[b]) for a, b in spanning_links(bits[run], limit, radius, depth + 1, None if whole is None else whole[run], most)]
         return links
     label, size = np.arange(m), np.ones(m, np.int64)
     done, links = np.zeros(m, bool), []
@@ -138,6 +138,8 @@ def spanning_links(bits: np.ndarray, limit: int, radius: int, depth: int = 0) ->
         p = int(todo[0])
         done[p] = True
         near = np.flatnonzero(np.bitwise_count(bits ^ bits[p]) <= limit)
+        if whole is not None:
+            near = near[np.bitwise_count(whole[near] ^ whole[p]).sum(axis=1) <= most]
         others, first = np.unique(label[near], return_index=True)
         for x, i in zip(others.tolist(), near[first].tolist()):
             if x != label[p]:
@@ -170,12 +172,17 @@ def dealt_to(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 _ENTRY = np.dtype([("bits", "<u8"), ("key", "V8")])
 
 
-def near_links(nodes: DataFrame, lanes: int, radius: int) -> DataFrame:
-    """Links (u, v) between the keys of distinct (key, print) nodes: a spanning forest for each bucket of each table."""
+def near_links(nodes: DataFrame, lanes: int, radius: int, limit: int | None = None) -> DataFrame:
+    """Links (u, v) between the keys of distinct (key, print) nodes: a spanning forest for each bucket of each table.
+
+    With a limit, nodes move with their whole prints: a forest of links within the radius alone
+    could not be thinned out later without losing others that it stands for.
+    """
     n = nodes.count()
     table_masks = masks(radius)
     tables = lanes * len(table_masks)
     parts = max(1, -(-4 * reducers(nodes.sparkSession) // tables), n // PACKED)
+    entry = _ENTRY if limit is None else np.dtype([*_ENTRY.descr, ("whole", "<u8", (lanes,))])
     packed_schema = pa.schema([("part", pa.int32()), ("tab", pa.int32()), ("nodes", pa.binary())])
     link_schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
@@ -187,8 +194,10 @@ def near_links(nodes: DataFrame, lanes: int, radius: int) -> DataFrame:
             keys = np.frombuffer(b"".join(b.column(0).to_pylist()), "V8")
             bits = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u8").reshape(-1, lanes).astype(np.uint64)
             for lane in range(lanes):
-                entries = np.empty(len(keys), _ENTRY)
+                entries = np.empty(len(keys), entry)
                 entries["bits"], entries["key"] = bits[:, lane], keys
+                if limit is not None:
+                    entries["whole"] = bits
                 rows = ([], [], [])
                 for t, mask in enumerate(table_masks.tolist(), lane * len(table_masks)):
                     for to, some in dealt_to(bits[:, lane] & np.uint64(mask), parts):
@@ -199,20 +208,23 @@ def near_links(nodes: DataFrame, lanes: int, radius: int) -> DataFrame:
 
     def link(key: tuple, table: pa.Table) -> pa.Table:
         held()
-        entries = np.frombuffer(b"".join(table.column("nodes").to_pylist()), _ENTRY)
+        entries = np.frombuffer(b"".join(table.column("nodes").to_pylist()), entry)
         bits = entries["bits"].copy()
+        whole = None if limit is None else entries["whole"]
         u, v = [], []
         pairs = []
         for r in runs(bits & table_masks[key[1].as_py() % len(table_masks)]):
             if len(r) == 2:
                 pairs.append(r)
-            elif links := spanning_links(bits[r], radius, radius):
+            elif links := spanning_links(bits[r], radius, radius, 0, None if whole is None else whole[r], limit or 0):
                 a, b = np.array(links).T
                 u.append(r[a])
                 v.append(r[b])
         if pairs:
             a, b = np.array(pairs).T
             near = np.bitwise_count(bits[a] ^ bits[b]) <= radius
+            if whole is not None:
+                near &= np.bitwise_count(whole[a] ^ whole[b]).sum(axis=1) <= limit
             u.append(a[near])
             v.append(b[near])
         out = [[x.tobytes() for x in entries["key"][np.concatenate(w)]] if w else [] for w in (u, v)]
@@ -238,8 +250,7 @@ def linked(known: DataFrame, lanes: int = 1, radius: int = 4, limit: int | None
     """
     key = F.col("print") if lanes == 1 else F.unhex(F.lpad(F.hex(F.xxhash64("print")), 16, "0"))
     least = stored(known.groupBy("print").agg(F.min("doc_id").alias("least")).select(key.alias("key"), "print", "least"), "nodes")
-    links = near_links(least, lanes, radius)
-    roots = components(links if limit is None else close_links(links, least, limit, lanes))
+    roots = components(near_links(least, lanes, radius, limit))
     members = roots.union(roots.select("root", "root").distinct()).toDF("key", "root")
     ids = members.join(least, "key").groupBy("root").agg(F.min("least").alias("component_id"))
     joined = members.join(ids, "root").select("key", "component_id")

@@ -133,3 +133,59 @@ def test_distinct_joins_pairs_of_a_similarity_from_0_8(docs_of):
     kept = {r.doc_id for r in simhash.distinct(docs_of(rows)).collect()}
     assert {r[0] for r in rows if r[0] % 2 == 0} <= kept and set(unlike) <= kept
     assert len(kept & set(like)) <= 4
+
+
+def test_links_within_a_limit_are_all_links(docs_of):
+    rng = random.Random(11)
+    base = ["w%d" % i for i in range(300)]
+    rows = [(i, " ".join(changed(base, rng.sample(range(300), rng.randrange(0, 14)), f"c{i}"))) for i in range(150)]
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs_of(rows), words_each=1, lanes=4, radius=4, limit=12).collect()}
+    bits = {i: np.frombuffer(r.print, ">u8").astype(np.uint64) for i, r in got.items()}
+    parent = {i: i for i in got}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(got), 2):
+        apart = np.bitwise_count(bits[a] ^ bits[b])
+        if apart.min() <= 4 and apart.sum() <= 12:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    assert 5 < len({find(i) for i in got}) < 145
+    assert {i: r.component_id for i, r in got.items()} == {i: find(i) for i in got}
+
+
+def test_alike_links_join_as_all_links_would():
+    rng = random.Random(12)
+    for _ in range(12):
+        base = rng.sample(range(10**6), 60)
+        sets = [np.unique(np.array(base[: 60 - k] + rng.sample(range(10**6), k), np.uint32)) for k in (rng.randrange(0, 12) for _ in range(80))]
+        ties = [(a, b) for a, b in itertools.combinations(range(80), 2) if len(x := set(sets[a]) & set(sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - len(x))]
+        label = np.arange(80)
+        for a, b in rng.sample(ties, min(10, len(ties))):
+            label[label == label[b]] = label[a]
+
+        def joined(pairs):
+            to = label.copy()
+            for a, b in pairs:
+                to[to == to[b]] = to[a]
+            return {frozenset(np.flatnonzero(to == x).tolist()) for x in to}
+
+        links = simhash.alike_links(sets, label)
+        assert set(map(frozenset, links)) <= set(map(frozenset, ties)) and joined(links) == joined(ties)
+
+
+def test_distinct_joins_families_through_their_base(docs_of):
+    rng = random.Random(13)
+    # copies of a similarity of 0.815 to their base, of about 0.66 to each other
+    base = ["a%d" % i for i in range(200)]
+    rows = [(0, " ".join(base))] + [(i, " ".join(changed(base, range(at := rng.randrange(5, 50), at + 136, 45), f"c{i}"))) for i in range(1, 150)]
+    # copies of 0.99, which share large buckets, and a few that only the base is alike enough to
+    base = ["b%d" % i for i in range(1000)]
+    rows += [(1000, " ".join(base))] + [(1000 + i, " ".join(changed(base, [rng.randrange(8, 990)], f"d{i}"))) for i in range(1, 300)]
+    rows += [(1300 + i, " ".join(changed(base, range(10 + i % 5, 10 + i % 5 + 22 * 40, 40), f"e{i}"))) for i in range(12)]
+    kept = {r.doc_id for r in simhash.distinct(docs_of(rows)).collect()}
+    assert {0, 1000} <= kept
+    assert len(kept) <= 6
