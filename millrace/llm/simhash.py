@@ -454,7 +454,9 @@ def alike_components(known: DataFrame) -> DataFrame:
 
 
 def distinct(docs: DataFrame, words_each: int = 5) -> DataFrame:
-    """docs with one document of each near-duplicate group: that with the least doc_id.
+    """docs with one document of each near-duplicate group: that with the least doc_id, one without an id only if all are.
+
+    Rows of a null or repeated doc_id go or stay each by its own text.
 
     Documents are linked if their sets of five-word shingles have a Jaccard similarity of at
     least 0.8. Sets of a similarity s differ in about acos(2 s / (1 + s)) / pi of their prints'
@@ -464,13 +466,14 @@ def distinct(docs: DataFrame, words_each: int = 5) -> DataFrame:
     known = stored(sketches(docs, words_each), "sketches")
     roots = alike_components(known)
     members = roots.union(roots.select("root", "root").distinct()).toDF("key", "root")
-    least = known.groupBy("key").agg(F.min("doc_id").alias("least"))
-    ids = members.join(least, "key").groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = members.join(ids, "root").select("key", "component_id")
-    labels = stored(least.join(joined, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id")), "labels")
-    known = known.join(labels, "key").select("doc_id", "component_id")
-    # ids that stay; a row of a group without ids, or with a repeated id, is told apart below
-    gone = stored(known.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id").distinct(), "gone")
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    rows, ids = known.where("doc_id is null or doc_id = component_id").agg(F.count("*"), F.countDistinct("doc_id")).first()
-    return left if rows == ids else left.dropDuplicates(["doc_id", "text"]) if known.where("doc_id is null").limit(1).count() else left.dropDuplicates(["doc_id"])
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
+    least = known.groupBy("key").agg(F.min(row).alias("least"))
+    firsts = members.join(least, "key").groupBy("root").agg(F.min("least").alias("first"))
+    joined = members.join(firsts, "root").select("key", "first")
+    labels = stored(least.join(joined, "key", "left").select("key", F.coalesce("first", "least").alias("first")), "labels")
+    known = known.join(labels, "key").select("doc_id", "copy", row.eqNullSafe(F.col("first")).alias("stays"))
+    # a row is named by its id and its text, as ids can be null or repeated
+    gone = stored(known.where("not stays").select("doc_id", "copy").distinct(), "gone")
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["copy"]), "left_anti")
+    again = known.where("stays").groupBy("doc_id", "copy").count().where("count > 1").limit(1).count()
+    return left.dropDuplicates(["doc_id", "text"]) if again else left

@@ -189,3 +189,15 @@ def test_distinct_joins_families_through_their_base(docs_of):
     kept = {r.doc_id for r in simhash.distinct(docs_of(rows)).collect()}
     assert {0, 1000} <= kept
     assert len(kept) <= 6
+
+
+def test_distinct_drops_rows_and_not_ids(docs_of):
+    text = {x: " ".join(f"{x}{i}" for i in range(200)) for x in "abcdefg"}
+    near = lambda x: text[x] + " more"
+    rows = [(1, text["a"]), (None, near("a")), (None, text["b"]), (None, text["c"]), (None, near("c")), (None, text["c"])]
+    rows += [(2, text["d"]), (2, text["e"]), (3, near("d")), (5, text["f"]), (6, near("f")), (6, text["g"]), (6, text["g"]), (7, None), (8, "")]
+    got = [(r.doc_id, r.text) for r in simhash.distinct(docs_of(rows, extra=("copy", "key", "stays"))).collect()]
+    least_c = [r for r in got if r[0] is None and r[1] in (text["c"], near("c"))]
+    assert len(least_c) == 1
+    want = [(1, text["a"]), (None, text["b"]), (2, text["d"]), (2, text["e"]), (5, text["f"]), (6, text["g"]), (7, None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want + least_c))
