@@ -9,6 +9,10 @@ class InvalidSQLStatement(DialectError):
     pass
 
 
+class UnsupportedStatement(InvalidSQLStatement):
+    """A statement of administration: sessions, storage and instances are Spark's and the file system's."""
+
+
 class MissingFromClause(DialectError):
     pass
 

@@ -3,6 +3,10 @@
 Neither has a key to partition by. Rows are dealt by ranges of the sequence and frozen; each
 range also gets the few last rows of what comes before it, so that every window and every
 comparison with the row before is complete inside one range, and no task holds the table.
+Callers select the columns they need first, since all columns are frozen.
+
+Rows of equal sequence values come in the order of their other columns, so that results don't
+depend on the deal; nulls come first.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..sources.shared import kept
 
@@ -20,11 +25,12 @@ RANGE, PLACE, COPY = "_range", "_place", "_copy"
 def placed(df: DataFrame, sequence: Sequence[str]) -> DataFrame:
     """df with its 1-based place in the order of the sequence columns (PLACE) and its range (RANGE)."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frozen = kept(df.repartitionByRange(n, *sequence).withColumn(RANGE, F.spark_partition_id()), "ranges")
+    frozen = kept(df.repartitionByRange(n, *[F.col(f"`{c}`") for c in sequence]).withColumn(RANGE, F.spark_partition_id()), "ranges")
     sizes = frozen.groupBy(RANGE).agg(F.count(F.lit(1)).alias("_n"))
     # one row for each range
     before = sizes.select(RANGE, F.coalesce(F.sum("_n").over(Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(RANGE).orderBy(*sequence))
+    order = [*sequence, *(f.name for f in df.schema if f.name not in sequence and not isinstance(f.dataType, MapType))]
+    inside = F.row_number().over(Window.partitionBy(RANGE).orderBy(*[F.col(f"`{c}`") for c in order]))
     return frozen.join(F.broadcast(before), RANGE).withColumn(PLACE, inside + F.col("_before")).drop("_before")
 
 

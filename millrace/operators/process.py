@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,23 +34,39 @@ def processor_class(name: str) -> type:
         raise MissingWithinClause(f"no processor {name}") from e
 
 
+def _removed(batch: pa.RecordBatch, names: list[str], one: EventProcessor) -> pa.Array:
+    out = []
+    for row in batch.select(names).to_pylist():
+        try:
+            out.append(bool(one.process(row) and one.delete()))
+        except Exception:  # noqa: BLE001  the contract: a row that fails stays
+            out.append(False)
+    return pa.array(out, pa.bool_())
+
+
 def survivors(rows: DataFrame, processor: type) -> DataFrame:
     """The rows that the processor doesn't remove, with their types as they were."""
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = processor()
         for b in batches:
-            stays = []
-            for row in b.to_pylist():
-                try:
-                    stays.append(not (one.process(row) and one.delete()))
-                except Exception:  # noqa: BLE001  the contract: a row that fails stays
-                    stays.append(True)
-            yield b.filter(pa.array(stays, pa.bool_()))
+            yield b.filter(pc.invert(_removed(b, names, one)))
 
     return rows.mapInArrow(run, rows.schema)
 
 
+def removed(rows: DataFrame, names: list[str], places: list[str], processor: type) -> DataFrame:
+    """The places of the rows that the processor removes; it sees the columns `names` only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = processor()
+        for b in batches:
+            yield b.filter(_removed(b, names, one)).select(places)
+
+    return rows.select(*names, *places).mapInArrow(run, rows.select(*places).schema)
+
+
 def processed(rows: DataFrame, matching: Column | None, processor: type) -> DataFrame:
     """The table after the statement: rows that don't match, and matching ones that survive."""
     if matching is None:

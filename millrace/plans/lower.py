@@ -8,7 +8,7 @@ them are crossed last.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -341,7 +341,18 @@ class Lowering:
                     out.append((own(found.column).over(window) if own else windowed(e.function, found.column, found.kind, window)).alias(i.name))
             return out
 
-        return arrival.row_windows(rows, scope.sequence(alias), s.window[1], build)
+        return arrival.row_windows(self.used(scope, items, rows, scope.sequence(alias)), scope.sequence(alias), s.window[1], build)
+
+    def used(self, scope: Scope, items, rows: DataFrame, also: Sequence[str]) -> DataFrame:
+        """The joined rows' columns that the result needs: what is frozen isn't pruned by itself."""
+        names = dict.fromkeys(also)
+        for i in items:
+            e = i.expression
+            c = e if isinstance(e, S.Column) else e.argument
+            if not isinstance(c, S.Star):
+                found = scope.find(c.name)
+                names[f"{found.alias}{MARK}{found.name}"] = None
+        return rows.select(*[F.col(f"`{n}`") for n in names])
 
     def replayed(self, s: S.Select) -> DataFrame:
         """What SELECT STREAM would have given for the rows so far."""
@@ -353,7 +364,8 @@ class Lowering:
             raise E.InvalidSQLStatement("a grouped stream takes one table")
         keys = [scope.find(c.name) for c in s.group]
         names = [f"{k.alias}{MARK}{k.name}" for k in keys]
-        numbered = arrival.runs(self.joined(scope, s.where), scope.sequence(s.tables[0].alias), names)
+        sequence = scope.sequence(s.tables[0].alias)
+        numbered = arrival.runs(self.used(scope, items, self.joined(scope, s.where), [*sequence, *names]), sequence, names)
         calls = [self.call(scope, i.expression).alias(i.name) for i in items if self.is_call(i)]
         out = arrival.closed_runs(numbered, names, calls)
         return out.select(*[F.col(f"`{i.name}`") if self.is_call(i) else self.plain(scope, i) for i in items])

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from . import errors as E
 from .catalog import Catalog, Entity
 from .functions import DATE_FORMAT
-from .operators.process import processed, processor_class
+from .metrics import Metrics
+from .operators.process import processed, processor_class, removed
 from .plans import syntax as S
 from .plans.lower import Lowering, Scope
 from .plans.parser import parse
-from .sources.store import Manifest, Store, without_rows
+from .sources.shared import kept
+from .sources.store import FILE, ROW, Change, Manifest, Store, located, without_ids, without_places
 from .streaming import live
 
 MAX_NODES = 64  # fixed value: distributed ids are number * 64 + node
@@ -32,12 +34,14 @@ class Session:
         self.store = Store(spark, path) if path else None
         self.processors: dict[str, type] = {}
         self.aggregates: dict[str, Callable[[Column], Column]] = {}
+        #: times of what this session has done on the driver; a stream's are its progress
+        self.metrics = Metrics()
         self._clear()
 
     def _clear(self) -> None:
-        #: the manifest that a table's staged files stand for, and those files
+        #: the manifest that the staged changes stand on, and these
         self.base: Manifest | None = None
-        self.staged: dict[str, list[str]] = {}
+        self.staged: dict[str, Change] = {}
         self.last_ids: dict[str, int] = {}
         self.pinned: Manifest | None = None
 
@@ -49,9 +53,9 @@ class Session:
             return self.pinned
         return self.store.newest()
 
-    def files(self, entity: Entity) -> list[str]:
+    def entries(self, entity: Entity) -> list[str]:
         if entity.name in self.staged:
-            return self.staged[entity.name]
+            return self.staged[entity.name].entries
         return self._manifest().tables.get(entity.name, [])
 
     def table(self, entity: Entity | str) -> DataFrame:
@@ -61,7 +65,7 @@ class Session:
             return self.spark.read.schema(entity.schema).parquet(entity.path)
         if not self.store:
             raise E.InvalidTableDescription(f"{entity.name} has no path and the session no store")
-        return self.store.read(self.files(entity), entity.schema)
+        return self.store.read(self.entries(entity), entity.schema)
 
     def lowering(self) -> Lowering:
         return Lowering(self.catalog, self.table, self.date_format, self.strict, self.aggregates)
@@ -74,7 +78,12 @@ class Session:
 
     def execute(self, text: str):
         """SELECT gives a DataFrame, SELECT STREAM a live.Stream, PROCESS the table's rows after it; COMMIT and ROLLBACK give None."""
-        statement = parse(text, self.strict, self.aggregates)
+        with self.metrics.timed("parse"):
+            statement = parse(text, self.strict, self.aggregates)
+        with self.metrics.timed(type(statement).__name__.lower()):
+            return self._run(statement)
+
+    def _run(self, statement):
         if isinstance(statement, S.Commit):
             return self.commit()
         if isinstance(statement, S.Rollback):
@@ -104,18 +113,21 @@ class Session:
 
     # -- writing
 
-    def _stage(self, entity: Entity, files: list[str]) -> None:
+    def _change(self, entity: Entity) -> Change:
+        """What this transaction has made of a table so far, to change it further."""
         if entity.path:
             raise E.InvalidTableDescription(f"{entity.name} is read only")
         if self.base is None:
             self.base = self._manifest()
-        self.staged[entity.name] = files
-
-    def _begin(self, entity: Entity) -> list[str]:
         if entity.name not in self.staged:
-            self._stage(entity, self.files(entity))
+            self.staged[entity.name] = Change(tuple(self._manifest().tables.get(entity.name, ())))
         return self.staged[entity.name]
 
+    def _without_ids(self, e: Entity, ids: DataFrame) -> Change:
+        change = self._change(e)
+        old, new = (without_ids(self.store, e.name, x, e.schema, e.id, ids) for x in (change.old, change.new))
+        return Change(old, new)
+
     def next_ids(self, entity: Entity, n: int) -> list[int]:
         last = max(self.last_ids.get(entity.name, 0), self._manifest().last_ids.get(entity.name, 0))
         self.last_ids[entity.name] = last + n
@@ -132,27 +144,31 @@ class Session:
     def persist(self, entity: str, rows: DataFrame | Iterable[dict]) -> None:
         """Inserts rows; with an id column, a row replaces the one that has its id.
 
-        The ids of a DataFrame's rows must be distinct.
+        Of several given dicts with an id the last counts. A DataFrame's rows have no order: of those
+        with an id the one counts whose other columns sort last.
         """
         e = self.catalog[entity]
+        names = e.schema.fieldNames()
         if not isinstance(rows, DataFrame):
             rows = [dict(r) for r in rows]
             if e.generated:
                 without = [r for r in rows if r.get(e.id) is None]
                 for r, k in zip(without, self.next_ids(e, len(without))):
                     r[e.id] = k
-            if e.id and not e.append_only:  # the last of several rows with an id counts
+            if e.id and not e.append_only:
                 rows = list({r.get(e.id): r for r in rows}.values())
-            rows = self.spark.createDataFrame([tuple(r.get(n) for n in e.schema.fieldNames()) for r in rows], e.schema)
+            rows = self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], e.schema)
         elif e.generated:
             raise E.InvalidTableDescription("generated ids are for single rows; give a DataFrame its ids by with_ids()")
-        files = self._begin(e)
-        rows = rows.select(*e.schema.fieldNames())
-        if e.id and not e.append_only:
-            files, rest = without_rows(self.store, files, e.schema, e.id, rows.select(e.id))
-            if rest is not None:
-                files = files + self.store.write(e.name, rest)
-        self._stage(e, files + self.store.write(e.name, rows))
+        elif e.id and not e.append_only:
+            others = F.struct(*[n for n in names if n != e.id])
+            rows = rows.groupBy(e.id).agg(F.max(others).alias("_others")).select(*[F.col(e.id) if n == e.id else F.col("_others")[n].alias(n) for n in names])
+        with self.metrics.timed("persist"):
+            added = self.store.write(e.name, rows.select(*names))  # once: ids are looked up in what has been written
+            change = self._change(e)
+            if e.id and not e.append_only:
+                change = self._without_ids(e, self.store.read([added], e.schema).select(e.id))
+            self.staged[e.name] = Change(change.old, (*change.new, added))
 
     def with_ids(self, entity: str, rows: DataFrame) -> DataFrame:
         """rows with unique ids from this node's numbers, without bringing them together; not dense."""
@@ -168,12 +184,11 @@ class Session:
         if not isinstance(rows, DataFrame):
             rows = self.spark.createDataFrame([(k,) for k in rows], f"{e.id} {e.schema[e.id].dataType.simpleString()}")
         ids = rows.select(e.id)
-        files = self._begin(e)
         if e.on_delete:
             for r in self.table(e).join(ids, e.id, "left_semi").toLocalIterator():
                 e.on_delete(r.asDict())
-        files, rest = without_rows(self.store, files, e.schema, e.id, ids)
-        self._stage(e, files + (self.store.write(e.name, rest) if rest is not None else []))
+        with self.metrics.timed("delete"):
+            self.staged[e.name] = self._without_ids(e, ids)
 
     purge = delete
 
@@ -193,9 +208,9 @@ class Session:
         self._clear()
 
     def rollback(self) -> None:
-        for name, files in self.staged.items():
-            known = set(self.base.tables.get(name, []))
-            for folder in {f.rpartition("/")[0] for f in files if f not in known}:
+        for name, change in self.staged.items():
+            known = {"/".join(f.split("/")[:2]) for f in self.base.tables.get(name, [])}
+            for folder in {"/".join(f.split("/")[:2]) for f in change.entries} - known:
                 self.store.folder.remove(folder)
         self._clear()
 
@@ -236,14 +251,22 @@ class Session:
         return entity, condition, self.processor(statement.processor)
 
     def process(self, statement: S.Process) -> DataFrame:
-        """Runs the processor on every matching row and stages what is left; of a read-only table, only gives it."""
+        """Runs the processor on every matching row and stages what is left; of a read-only table, only gives it.
+
+        Only files that hold a removed row are written anew.
+        """
         entity, condition, processor = self._parts(statement)
         if entity.path:
             return processed(self.table(entity), condition, processor)
         with self.locked(entity):
-            self._begin(entity)
-            files = self.store.write(entity.name, processed(self.table(entity), condition, processor))
-            self._stage(entity, files)
+            change = self._change(entity)
+            if change.entries:
+                rows = located(self.store, change.entries, entity.schema)
+                if condition is not None:
+                    rows = rows.where(condition)
+                gone = kept(removed(rows, entity.schema.fieldNames(), [FILE, ROW], processor), "removed")
+                old, new = (without_places(self.store, entity.name, x, entity.schema, gone) for x in (change.old, change.new))
+                self.staged[entity.name] = Change(old, new)
             return self.table(entity)
 
     def process_stream(self, statement: S.Process, **options):

@@ -1,8 +1,9 @@
 """SELECT STREAM and PROCESS STREAM on Structured Streaming.
 
-A table's Parquet files are its append log: existing files are read first, then new ones, in
-the order of their modification times, one a micro-batch. Progress and state are in the
-checkpoint; only committed rows are seen.
+The Parquet files of a table outside the store are its append log: existing files are read first,
+then new ones, in the order of their modification times, one a micro-batch. A stored table is
+followed by its commits (sources.changes): first the rows that it holds, then each commit's new
+rows; nothing else is ever seen. Progress and state are in the checkpoint.
 """
 
 from __future__ import annotations
@@ -19,21 +20,24 @@ from ..functions import is_integral
 from ..operators.process import survivors
 from ..plans import syntax as S
 from ..plans.lower import MARK, Scope
+from ..sources.changes import NAME as CHANGES
+from ..sources.changes import Changes
 from ..sources.shared import shared_dir
-from .stateful import STATE, RowWindow, Runs
+from ..sources.store import Folder
+from .stateful import STATE, RowWindow, Runs, packed
 
 
 def source(session, entity: Entity, path: str | None = None, files_each: int = 1) -> DataFrame:
-    """A table's append log: `path` or the entity's own folder."""
+    """A table's append log: `path` or the entity's own folder, or else its commits."""
+    reader = session.spark.readStream.schema(entity.schema)
     where = path or entity.path
-    if where:
-        # as a pattern, the path may be a file as well as a folder
-        head, _, name = where.rstrip("/").rpartition("/")
-        where = where if "*" in where else f"{head}/[{name[0]}]{name[1:]}"
-    else:
-        # a stored table's log is the files of its commits, below its folder
-        where = f"{session.store.folder.path}/{entity.name}/*"
-    return session.spark.readStream.schema(entity.schema).option("maxFilesPerTrigger", files_each).parquet(where)
+    if not where:
+        session.spark.dataSource.register(Changes)
+        return reader.format(CHANGES).option("path", session.store.folder.path).option("table", entity.name).load()
+    # as a pattern, the path may be a file as well as a folder
+    head, _, name = where.rstrip("/").rpartition("/")
+    where = where if "*" in where else f"{head}/[{name[0]}]{name[1:]}"
+    return reader.option("maxFilesPerTrigger", files_each).parquet(where)
 
 
 class Stream:
@@ -51,7 +55,7 @@ class Stream:
             raise E.InvalidSQLStatement("a stream has no inline views")
         self.session, self.statement = session, statement
         self.scope = Scope(session.catalog, statement.tables)
-        self.query = None
+        self.query = self.output = self.schema = None
         self.name = f"stream_{uuid.uuid4().hex}"
 
     def frame(self, path: str | None = None, files_each: int = 1) -> DataFrame:
@@ -85,31 +89,40 @@ class Stream:
         if s.window:
             operator = RowWindow(sequence, s.window[1], outputs)
         else:
-            operator = Runs(sequence, [f"{k.alias}{MARK}{k.name}" for k in (scope.find(c.name) for c in s.group)], outputs)
-        return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandasWithState(operator, StructType(fields), STATE, "append", "NoTimeout")
-
-    def start(self, path: str | None = None, files_each: int = 1, sink: str = "memory", output: str | None = None, checkpoint: str | None = None, once: bool = False, each_batch=None):
-        """Starts the query. sink: memory, parquet (into `output`) or foreach (each_batch(df, number))."""
-        writer = self.frame(path, files_each).writeStream.outputMode("append")
-        writer = writer.option("checkpointLocation", checkpoint or f"{shared_dir(self.session.spark)}/{self.name}")
+            keys = [f"{k.alias}{MARK}{k.name}" for k in (scope.find(c.name) for c in s.group)]
+            operator = Runs(sequence, keys, outputs)
+        used = dict.fromkeys([*sequence, *([] if s.window else keys), *(o[2] for o in outputs if o[2])])
+        rows = rows.select(*[packed(c) for c in used], F.lit(0).alias("_one"))
+        return rows.groupBy("_one").applyInPandasWithState(operator, StructType(fields), STATE, "append", "NoTimeout")
+
+    def start(self, path: str | None = None, files_each: int = 1, sink: str = "parquet", output: str | None = None, checkpoint: str | None = None, once: bool = False, each_batch=None):
+        """Starts the query. sink: parquet (into `output`, or else a folder of its own), memory (in the driver) or foreach (each_batch(df, number))."""
+        frame, shared = self.frame(path, files_each), shared_dir(self.session.spark)
+        writer = frame.writeStream.outputMode("append").option("checkpointLocation", checkpoint or f"{shared}/{self.name}/checkpoint")
         if once:
             writer = writer.trigger(availableNow=True)
+        self.schema = frame.schema
         if sink == "memory":
             writer = writer.format("memory").queryName(self.name)
         elif sink == "foreach":
             writer = writer.foreachBatch(each_batch)
         else:
-            writer = writer.format(sink).option("path", output)
+            self.output = output or f"{shared}/{self.name}/rows"
+            writer = writer.format(sink).option("path", self.output)
         self.query = writer.start()
         if once:
             self.query.awaitTermination()
         return self
 
     def results(self) -> DataFrame:
-        """Rows so far, of a query with a memory sink."""
+        """Rows so far, of a query with a parquet or memory sink."""
+        spark = self.session.spark
         if self.query.isActive:
             self.query.processAllAvailable()
-        return self.session.spark.table(self.name)
+        if self.output is None:
+            return spark.table(self.name)
+        written = Folder(spark, self.output).names("_spark_metadata")
+        return spark.read.schema(self.schema).parquet(self.output) if written else spark.createDataFrame([], self.schema)
 
     @property
     def progress(self) -> list[dict]:

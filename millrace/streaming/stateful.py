@@ -2,39 +2,91 @@
 
 Both follow one sequence of rows, so they have one key and one task: the order of the rows is
 what they are about. For stored tables, operators.arrival gives the same rows in parallel.
+
+Values come as arrays of one value, or none for a null, so that pandas neither turns a column of
+integers with nulls into floats nor nulls into NaN. Rows of equal sequence values in a batch come in the order of their other columns.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-STATE = "state binary"
+STATE, KEY = "state binary", "_one"
 
 
-def evaluate(function: str, values: Sequence, integral: bool):
-    """An aggregate of a few values; None is null."""
-    known = [v for v in values if v is not None]
-    if function == "COUNT":
-        return len(known)
-    if function == "LAST":
-        return values[-1]
-    if not known:
+def packed(name: str) -> Column:
+    """A column as the operators take it."""
+    return F.array_compact(F.array(F.col(f"`{name}`"))).alias(name)
+
+
+def _value(array):
+    if not len(array):
         return None
-    if function == "SUM":
-        return sum(known)
-    if function == "AVG":
-        total = sum(known)
-        return abs(total) // len(known) * (1 if total >= 0 else -1) if integral else total / len(known)
-    return min(known) if function == "MIN" else max(known)
+    v = array[0]
+    return v.item() if isinstance(v, np.generic) and not isinstance(v, np.datetime64) else pd.Timestamp(v).to_pydatetime() if isinstance(v, np.datetime64) else v
+
+
+def _place(row: dict, names: Sequence[str]) -> tuple:
+    return tuple((row[c] is not None, row[c]) for c in names)
 
 
 def rows_of(frames: Iterator[pd.DataFrame], sequence: Sequence[str]) -> list[dict]:
-    """The rows of all chunks of a micro-batch, in order of arrival."""
-    every = [r for f in frames for r in f.astype(object).where(f.notna(), None).to_dict("records")]
-    return sorted(every, key=lambda r: tuple(r[c] for c in sequence))
+    """The rows of all chunks of a micro-batch, in order of arrival, nulls first."""
+    every = []
+    for f in frames:
+        names = [c for c in f.columns if c != KEY]
+        every += [dict(zip(names, row)) for row in zip(*[[_value(v) for v in f[c]] for c in names])]
+    names = [*sequence, *(sorted(set(every[0]) - set(sequence)) if every else ())]
+    return sorted(every, key=lambda r: _place(r, names))
+
+
+def _both(combine: Callable) -> Callable:
+    """combine, where None counts as nothing."""
+    return lambda a, b: b if a is None else a if b is None else combine(a, b)
+
+
+def spans(values: list, n: int, combine: Callable) -> list:
+    """combine over every n neighbours, at constant work a value.
+
+    Values are cut into blocks of n; a span is the end of one block and the beginning of the next.
+    """
+    forward, backward = [], []
+    for a in range(0, len(values), n):
+        block = values[a : a + n]
+        forward += accumulate(block, combine)
+        backward += [*accumulate(reversed(block), lambda x, y: combine(y, x))][::-1]
+    return [forward[i + n - 1] if i % n == 0 else combine(backward[i], forward[i + n - 1]) for i in range(len(values) - n + 1)]
+
+
+def divided(total, n: int, integral: bool):
+    """A mean; of integers truncated toward zero."""
+    return abs(total) // n * (1 if total >= 0 else -1) if integral else total / n
+
+
+def sliding(function: str | None, values: list, n: int, integral: bool) -> list:
+    """An aggregate of every n neighbours; None is null. Without a function, the oldest value."""
+    if len(values) < n:
+        return []
+    if function is None:
+        return values[: len(values) - n + 1]
+    if function == "LAST":
+        return values[n - 1 :]
+    if function in ("MIN", "MAX"):
+        return spans(values, n, _both(min if function == "MIN" else max))
+    known = spans([v is not None for v in values], n, lambda a, b: a + b)
+    if function == "COUNT":
+        return [int(k) for k in known]
+    totals = spans(values, n, _both(lambda a, b: a + b))
+    if function == "SUM":
+        return totals
+    return [None if not k else divided(t, k, integral) for t, k in zip(totals, known)]
 
 
 class RowWindow:
@@ -44,16 +96,11 @@ class RowWindow:
         self.sequence, self.n, self.outputs = sequence, n, outputs
 
     def __call__(self, key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(state.get[0]) if state.exists else []
-        out = []
-        for row in rows_of(frames, self.sequence):
-            held.append(row)
-            if len(held) == self.n:
-                out.append({name: held[0][c] if f is None else evaluate(f, [1 if c is None else r[c] for r in held], whole) for name, f, c, whole in self.outputs})
-                held.pop(0)
-        state.update((pickle.dumps(held),))
-        if out:
-            yield pd.DataFrame(out, columns=[o[0] for o in self.outputs], dtype=object)
+        rows = (pickle.loads(state.get[0]) if state.exists else []) + rows_of(frames, self.sequence)
+        state.update((pickle.dumps(rows[len(rows) - self.n + 1 :] if len(rows) >= self.n else rows),))
+        if len(rows) >= self.n:
+            columns = {name: sliding(f, [1 if c is None else r[c] for r in rows], self.n, whole) for name, f, c, whole in self.outputs}
+            yield pd.DataFrame({name: pd.Series(v, dtype=object) for name, v in columns.items()})
 
 
 class Runs:
@@ -81,10 +128,8 @@ class Runs:
                 out[name] = t[0] if t else 0
             elif not t:
                 out[name] = None
-            elif f == "AVG":
-                out[name] = abs(t[1]) // t[0] * (1 if t[1] >= 0 else -1) if whole else t[1] / t[0]
             else:
-                out[name] = t[{"SUM": 1, "MIN": 2, "MAX": 3}[f]]
+                out[name] = divided(t[1], t[0], whole) if f == "AVG" else t[{"SUM": 1, "MIN": 2, "MAX": 3}[f]]
         return out
 
     def __call__(self, key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -99,4 +144,4 @@ class Runs:
             self.add(totals, row)
         state.update((pickle.dumps((at, totals)),))
         if out:
-            yield pd.DataFrame(out, columns=[o[0] for o in self.outputs], dtype=object)
+            yield pd.DataFrame({o[0]: pd.Series([r[o[0]] for r in out], dtype=object) for o in self.outputs})
