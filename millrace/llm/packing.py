@@ -40,16 +40,18 @@ class WordEncoder:
     The tokenizer's own splitting never joins characters across ASCII white space, and parts a
     letter from punctuation that follows it, so a text's ids are those of its words and closing
     punctuation one after another. New words are encoded together, parted by a special token.
+    Special tokens that stand in a text are taken as the library takes them; with `literal`, as
+    the characters they are.
     """
 
     BREAK = "<|startoftext|>"
 
-    def __init__(self, path: str, most: int = CACHE_WORDS):
+    def __init__(self, path: str, most: int = CACHE_WORDS, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.breaking, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.plain.encode_special_tokens = literal
         self.break_id = self.breaking.token_to_id(self.BREAK)
         self.known: dict[bytes, bytes] = {}
         self.most = most
@@ -71,7 +73,8 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without an end id."""
-        words = [CLOSING.sub(rb" \1", t.lower()).split() for t in texts]
+        # lower case only spares the cache words, and would make special tokens of other letters
+        words = [CLOSING.sub(rb" \1", t if b"<|" in t else t.lower()).split() for t in texts]
         new = set().union(*words).difference(self.known)
         if len(self.known) + len(new) > self.most:
             self.known.clear()

@@ -8,7 +8,9 @@ that begins in one block and ends in another, however many lie between, is count
 
 Defined results: an empty document has 0 tokens; ids after a file's last separator are an
 unfinished document, reported with `closed` false; an empty file gives no rows; in `written`,
-a null or empty text is a separator alone and repeated rows are written again.
+a null or empty text is a separator alone and repeated rows are written again; special tokens that
+stand in a text are written as the characters they are, so that none is taken for a separator; an
+id that the files' width can't hold is an error.
 """
 
 from __future__ import annotations
@@ -36,6 +38,14 @@ def _open(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
+def flat(ids: np.ndarray, separator: int, kind: str) -> bytes:
+    """The bytes of ids of a fixed width; ids that don't fit, or would end the document, are an error."""
+    most = int(ids.max(initial=0))
+    if most > np.iinfo(kind).max or (ids == separator).any():
+        raise ValueError(f"id {most} doesn't fit {kind}, or the separator {separator} is an id of the text")
+    return ids.astype(kind).tobytes()
+
+
 def written(docs: DataFrame, tokenizer: str, separator: int, folder: str, kind: str = "<u2") -> DataFrame:
     """Writes each partition's documents as a flat file; (file, bytes, ids): which documents it holds, in order.
 
@@ -44,7 +54,7 @@ def written(docs: DataFrame, tokenizer: str, separator: int, folder: str, kind:
     schema = pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = held(f"words of {tokenizer}", lambda: WordEncoder(tokenizer))
+        encode = held(f"literal words of {tokenizer}", lambda: WordEncoder(tokenizer, literal=True))
         context = TaskContext.get()
         name = f"{folder}/tokens-{context.partitionId() if context else 0:06d}-{uuid.uuid4().hex}.bin"
         end, size, ids, out = np.array([separator], kind).tobytes(), 0, [], None
@@ -53,7 +63,7 @@ def written(docs: DataFrame, tokenizer: str, separator: int, folder: str, kind:
                 fs, path = _open(name)
                 out = fs.open_output_stream(path)
             for i, x in zip(b.column(0).to_pylist(), encode(utf8(b.column(1)))):
-                data = np.frombuffer(x, "<u4").astype(kind).tobytes() + end
+                data = flat(np.frombuffer(x, "<u4"), separator, kind) + end
                 out.write(data)
                 size += len(data)
                 ids.append(i)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -12,9 +13,7 @@ PATH = P.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def check(rows, got, library):
@@ -51,6 +50,20 @@ def test_edge_cases(docs_of, library):
     assert packing.packed(docs_of(rows).limit(0), PATH).count() == 0
 
 
+def test_special_tokens_in_texts(library):
+    rng = random.Random(8)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "don't", "A", "b.", " ", "\n", "É", "<", "endoftext", "<|endoftext", "?"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    encode = packing.WordEncoder(PATH)
+    for t, ids in zip(texts, encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    literal = Tokenizer.from_file(PATH)
+    literal.encode_special_tokens = True
+    encode = packing.WordEncoder(PATH, literal=True)
+    for t, ids in zip(texts, encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == literal.encode(t, add_special_tokens=False).ids, t
+
+
 def test_pack_fills_sequences_and_balances_cost():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 3000, 400)

@@ -74,3 +74,12 @@ def test_whole_table(spark, sf):
 
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     check(rows, queries.op2_token_counts(spark, sf).collect())
+
+
+def test_ids_that_dont_fit_are_an_error():
+    ids = np.array([0, 65535, 7], np.uint32)
+    assert np.frombuffer(tokencounts.flat(ids, 9, "<u2"), "<u2").tolist() == ids.tolist()
+    assert tokencounts.flat(ids[:0], 9, "<u2") == b""
+    for bad, separator in ((np.array([65536], np.uint32), 9), (ids, 7)):
+        with pytest.raises(ValueError):
+            tokencounts.flat(bad, separator, "<u2")
