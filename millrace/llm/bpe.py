@@ -4,10 +4,13 @@ The split pattern's matches never cross a single space or line end except by tak
 in front, so whole texts are put together from cached space-delimited words; texts with other
 white space are split by the pattern directly. Words that aren't tokens themselves become
 token-position rows in DuckDB; a recursive query joins neighbours with the merge table and
-contracts each word's leftmost pair of least rank, until no pair is left. Long words use the
-same rounds with every occurrence of the least pair contracted from the left, which gives the
-same tokens in fewer rounds. Decoding joins token-position rows with the vocabulary and
-aggregates the bytes in order.
+contracts each word's leftmost pair of least rank, until no pair is left. Decoding joins
+token-position rows with the vocabulary and aggregates the bytes in order.
+
+A query keeps the rows of all its rounds, and a word takes about as many rounds as it has bytes, so
+longer words are contracted in pieces by the same query. A row of tokens is the encoding of its
+bytes if and only if every two neighbours are the encoding of theirs; so cuts between pieces are
+tested pair by pair, and bytes around a failing one are contracted again, ever farther around.
 
 Defined results: a null or empty text has no tokens; repeated rows are encoded each; an empty
 table gives an empty table.
@@ -26,8 +29,10 @@ from pyspark.sql import DataFrame
 
 from .common import batch, held, pick, text_slices
 
-#: Words of more bytes than this contract all occurrences of a pair in one round.
-LONG = 96
+#: Words of more bytes than this are contracted in pieces of so many bytes.
+PIECE = 64
+#: Bytes on each side of a failing cut that are contracted again, at first.
+REACH = 16
 CACHE_WORDS = 700_000
 #: Stands before a piece that no space precedes.
 BARE = "\0"
@@ -36,8 +41,8 @@ CLOSING = re.compile(r"(?<=[^\W_])([.,!?%*&$#:;]+)(?=[ \n]|\Z)")
 #: Bytes of new words that one recursive query takes.
 QUERY_BYTES = 1_500_000
 
-# A row's key holds the word above bit 20 and the position below; a long word has no other beside it.
-CONTRACT_ONE = """
+# A row's key holds the word above bit 20 and the position below.
+CONTRACT = """
 WITH RECURSIVE t(k, id, round) AS (
     SELECT k, id, 0 FROM start
     UNION ALL
@@ -52,28 +57,9 @@ WITH RECURSIVE t(k, id, round) AS (
 )
 SELECT k, id FROM t JOIN (SELECT k >> {bits} AS w, max(round) AS last FROM t GROUP BY ALL) f ON f.w = t.k >> {bits} AND f.last = t.round
 """
-CONTRACT_ALL = """
-WITH RECURSIVE t(k, id, round) AS (
-    SELECT k, id, 0 FROM start
-    UNION ALL
-    (WITH pairs AS (
-        SELECT a.k, a.k >> {bits} AS w, m.id AS rank FROM t a JOIN t b ON b.k = a.k + 1 JOIN merges m ON m.a = a.id AND m.b = b.id
-     ), least AS (
-        SELECT k, w, rank FROM (SELECT *, min(rank) OVER (PARTITION BY w) AS most FROM pairs) WHERE rank = most
-     ), islands AS (
-        SELECT *, k - row_number() OVER (ORDER BY k) AS island FROM least
-     ), taken AS (
-        SELECT k, w, rank FROM (SELECT *, row_number() OVER (PARTITION BY island ORDER BY k) AS n FROM islands) WHERE n % 2 = 1
-     )
-     SELECT ((t.k >> {bits}) << {bits}) + row_number() OVER (PARTITION BY t.k >> {bits} ORDER BY t.k) - 1, coalesce(taken.rank, t.id), t.round + 1
-     FROM t SEMI JOIN taken alive ON alive.w = t.k >> {bits} LEFT JOIN taken ON taken.k = t.k
-     WHERE t.k NOT IN (SELECT k + 1 FROM taken))
-)
-SELECT k, id FROM t JOIN (SELECT k >> {bits} AS w, max(round) AS last FROM t GROUP BY ALL) f ON f.w = t.k >> {bits} AND f.last = t.round
-"""
 DECODE = "SELECT k >> {bits} AS w, from_hex(string_agg(hex, '' ORDER BY k)) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY ALL ORDER BY w"
 BITS = {"bits": 20, "low": (1 << 20) - 1}
-BITS_LONG = {"bits": 40, "low": (1 << 40) - 1}
+DECODE_BITS = {"bits": 40, "low": (1 << 40) - 1}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -92,7 +78,7 @@ class Bpe:
         self.match = regex.compile(pattern).findall
         self.most = most
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         rows = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         merges = pa.table(dict(zip(("a", "b", "id"), (pa.array(x, pa.int32()) for x in zip(*rows)))))
         vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
@@ -102,7 +88,13 @@ class Bpe:
             self.db.unregister("given")
         self.clear()
 
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.tokens: list[bytes] = [b""] * len(self.sizes)
+        for t, r in self.ranks.items():
+            self.sizes[r], self.tokens[r] = len(t), t
+
     def clear(self) -> None:
+        self.stands: dict[tuple[int, int], bool] = {}
         self.ids: dict[str, bytes] = {}
         self.texts: dict[str, bytes] = {}
 
@@ -112,42 +104,88 @@ class Bpe:
         self.db.unregister(name)
         return got
 
-    def contract(self, words: list[bytes], every: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and ids of the tokens of some words, in order."""
-        bits = (BITS_LONG if every else BITS)["bits"]
+    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         which = np.repeat(np.arange(len(words)), sizes)
         pos = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        start = pa.table({"k": (which << bits) + pos, "id": ids})
-        got = self._query((CONTRACT_ALL.format(**BITS_LONG) if every else CONTRACT_ONE.format(**BITS)), start, "start")
+        got = self._query(CONTRACT.format(**BITS), pa.table({"k": (which << BITS["bits"]) + pos, "id": ids}), "start")
         keys, ids = (got.column(n).to_numpy() for n in ("k", "id"))
         order = np.argsort(keys)
-        return keys[order], ids[order]
+        cuts = np.searchsorted(keys[order] >> BITS["bits"], np.arange(1, len(words)))
+        return np.split(ids[order], cuts)
+
+    def contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of some words, by queries of a bounded size."""
+        out: list[np.ndarray] = []
+        while len(out) < len(words):
+            size, to = 0, len(out)
+            while to < len(words) and (to == len(out) or size + len(words[to]) <= QUERY_BYTES):
+                size += len(words[to])
+                to += 1
+            out += self._contract(words[len(out) : to])
+        return out
+
+    def failing(self, runs: list[list[np.ndarray]]) -> list[tuple[int, int]]:
+        """The cuts (word, piece after it) between neighbours that aren't the encoding of their bytes."""
+        pairs = {(w, k): (int(run[k - 1][-1]), int(run[k][0])) for w, run in enumerate(runs) for k in range(1, len(run))}
+        if len(self.stands) > self.most:
+            self.stands.clear()
+        new = [p for p in set(pairs.values()) if p not in self.stands]
+        for p, ids in zip(new, self.contract([self.tokens[a] + self.tokens[b] for a, b in new])):
+            self.stands[p] = ids.tolist() == list(p)
+        return [cut for cut, p in pairs.items() if not self.stands[p]]
+
+    def contract_long(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of words of any length."""
+        cuts = [[w[a : a + PIECE] for a in range(0, len(w), PIECE)] for w in words]
+        flat = iter(self.contract([c for cs in cuts for c in cs]))
+        runs = [[next(flat) for _ in cs] for cs in cuts]
+        reach = REACH
+        while todo := self.failing(runs):
+            jobs: list[tuple[int, int, int, int, int]] = []
+            for w, k in todo:
+                left, right = runs[w][k - 1], runs[w][k]
+                # tokens around the cut that have `reach` bytes; what another job has taken waits for the next turn
+                a = len(left) - int(np.searchsorted(np.cumsum(self.sizes[left[::-1]]), reach)) - 1
+                b = int(np.searchsorted(np.cumsum(self.sizes[right]), reach)) + 1
+                if not jobs or jobs[-1][0] != w or jobs[-1][1] < k - 1:
+                    jobs.append((w, k, max(a, 0), min(b, len(right)), 0))
+            again = self.contract([b"".join([self.tokens[t] for t in (*runs[w][k - 1][a:].tolist(), *runs[w][k][:b].tolist())]) for w, k, a, b, _ in jobs])
+            for (w, k, a, b, _), ids in reversed(list(zip(jobs, again))):
+                runs[w][k - 1 : k + 1] = [x for x in (runs[w][k - 1][:a], ids, runs[w][k][b:]) if len(x)]
+            runs = [self._settled(run) for run in runs]
+            reach *= 2
+        return [np.concatenate(run) for run in runs]
+
+    def _settled(self, run: list[np.ndarray]) -> list[np.ndarray]:
+        """A word's pieces, joined where the neighbours at a cut are known to stand."""
+        out = [run[0]]
+        group = [run[0]]
+        for x in run[1:]:
+            if self.stands.get((int(group[-1][-1]), int(x[0]))):
+                group.append(x)
+            else:
+                out[-1] = np.concatenate(group)
+                out.append(x)
+                group = [x]
+        out[-1] = np.concatenate(group)
+        return out
 
     def decode_tokens(self, which: np.ndarray, ids: np.ndarray) -> list[bytes]:
         """The bytes of each run of tokens; which: the run of each token, in order, without gaps."""
         first = np.flatnonzero(np.diff(which, prepend=-1))
         pos = np.arange(len(which)) - np.repeat(first, np.diff(np.append(first, len(which))))
-        got = self._query(DECODE.format(**BITS_LONG), pa.table({"k": (which.astype(np.int64) << 40) + pos, "id": ids.astype(np.int32)}), "tokens")
+        got = self._query(DECODE.format(**DECODE_BITS), pa.table({"k": (which.astype(np.int64) << 40) + pos, "id": ids.astype(np.int32)}), "tokens")
         return got.column("bytes").to_pylist()
 
     def encode_words(self, words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
         """The ids of each word, as little-endian 32-bit integers, and the bytes that they decode to."""
         encoded: list[np.ndarray | None] = [None if (r := self.ranks.get(b)) is None else np.array([r], np.int32) for b in words]
-        for every in (False, True):
-            todo = [i for i, e in enumerate(encoded) if e is None and (len(words[i]) > LONG) == every]
-            at = 0
-            while at < len(todo):
-                size, to = 0, at
-                while to < len(todo) and (to == at or size + len(words[todo[to]]) <= QUERY_BYTES):
-                    size += len(words[todo[to]])
-                    to += 1
-                keys, ids = self.contract([words[i] for i in todo[at:to]], every)
-                cuts = np.searchsorted(keys >> (40 if every else 20), np.arange(to - at + 1)).tolist()
-                for i, a, b in zip(todo[at:to], cuts, cuts[1:]):
-                    encoded[i] = ids[a:b]
-                at = to
+        for long, contract in ((False, self.contract), (True, self.contract_long)):
+            todo = [i for i, e in enumerate(encoded) if e is None and (len(words[i]) > PIECE) == long]
+            for i, ids in zip(todo, contract([words[i] for i in todo])):
+                encoded[i] = ids
         if not words:
             return [], []
         flat = np.concatenate(encoded)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -48,3 +49,25 @@ def test_whole_table(spark, sf, library):
 
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     check(rows, queries.op3_bpe(spark, sf).collect(), library)
+
+
+def test_long_words_match_the_library(library):
+    rng = random.Random(5)
+    encoder = bpe.Bpe(PATH, P.PATTERN)
+    kinds = ["ab", "etaoins", "abcdefghijklmnopqrstuvwxyz", "日本é", "=-", "aA1", "thein"]
+    texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randrange(60, 1500))) for _ in range(100)]
+    texts += ["".join(rng.choice(k) for _ in range(rng.randrange(60, 2000))) for k in kinds for _ in range(20)]
+    texts += [u * rng.randrange(30, 900) for u in ("a", "ab", "aab", "the", "=", "日", "zqx", "aaaaaab", "ing")]
+    for t, (ids, decoded) in zip(texts, encoder.encode_decode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t), t[:80]
+        assert decoded == t.encode()
+
+
+def test_a_million_letters_without_a_space(library):
+    began = time.perf_counter()
+    text = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    ((ids, decoded),) = bpe.Bpe(PATH, P.PATTERN).encode_decode([text])
+    assert decoded == text.encode() and time.perf_counter() - began < 120
+    # the library's time grows with the square of a word's length; a part ends alike, as its last cut shows
+    part = np.frombuffer(bpe.Bpe(PATH, P.PATTERN).contract_long([text[:20_000].encode()])[0].astype("<u4").tobytes(), "<u4").tolist()
+    assert part == library.encode_ordinary(text[:20_000]) and np.frombuffer(ids, "<u4")[: len(part) - 20].tolist() == part[:-20]
