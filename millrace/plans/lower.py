@@ -313,14 +313,27 @@ class Lowering:
                     key = self.operand(scope, names[o.column.name].expression)[0]
                 else:
                     key = scope.find(o.column.name, E.InvalidOrderByPart).column
-                keys.append(key.desc() if o.descending else key.asc())
+                way = ("desc" if o.descending else "asc") + (f"_nulls_{o.nulls.lower()}" if o.nulls else "")
+                keys.append(getattr(key, way)())
             rows = rows.orderBy(*keys)
-        if s.limit is not None and projected is None:
-            rows = rows.limit(s.limit)
         if projected is not None:
             rows = rows.select(*projected)
-            rows = rows.limit(s.limit) if s.limit is not None else rows
-        return rows
+        rows = rows.offset(s.offset) if s.offset else rows
+        return rows.limit(s.limit) if s.limit is not None else rows
+
+    def combined(self, c: S.Select | S.Combined) -> DataFrame:
+        """UNION, INTERSECT and EXCEPT, by place; the first SELECT names the columns."""
+        if isinstance(c, S.Select):
+            return self.select(c)
+        left, right = self.combined(c.left), self.combined(c.right)
+        if len(left.columns) != len(right.columns):
+            raise E.InvalidColumnDescription(f"{c.operator} needs as many columns on both sides")
+        if c.operator == "UNION":
+            out = left.union(right)
+            return out if c.every else out.distinct()
+        if c.operator == "INTERSECT":
+            return left.intersectAll(right) if c.every else left.intersect(right)
+        return left.exceptAll(right) if c.every else left.subtract(right)
 
     # -- statements over rows in arrival order, in batch form
 

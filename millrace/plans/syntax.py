@@ -103,6 +103,7 @@ class Table:
 class Order:
     column: Column
     descending: bool = False
+    nulls: str | None = None  # FIRST or LAST, if said
 
 
 @dataclass(frozen=True)
@@ -117,6 +118,17 @@ class Select:
     limit: int | None = None
     stream: bool = False
     distinct: bool = False
+    offset: int = 0
+
+
+@dataclass(frozen=True)
+class Combined:
+    """UNION, INTERSECT or EXCEPT; with `every`, rows count as often as they occur."""
+
+    left: Select | Combined
+    operator: str
+    every: bool
+    right: Select
 
 
 @dataclass(frozen=True)

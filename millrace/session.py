@@ -90,6 +90,8 @@ class Session:
             return self.rollback()
         if isinstance(statement, S.Process):
             return self.process_stream(statement) if statement.stream else self.process(statement)
+        if isinstance(statement, S.Combined):
+            return self.lowering().combined(statement)
         if statement.stream:
             return live.Stream(self, statement)
         return self.lowering().select(statement)

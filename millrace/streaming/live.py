@@ -47,8 +47,8 @@ class Stream:
     """
 
     def __init__(self, session, statement: S.Select):
-        if statement.order or statement.limit is not None or statement.distinct or statement.having is not None:
-            raise E.InvalidSQLStatement("a stream has no ORDER BY, LIMIT, DISTINCT or HAVING")
+        if statement.order or statement.limit is not None or statement.offset or statement.distinct or statement.having is not None:
+            raise E.InvalidSQLStatement("a stream has no ORDER BY, LIMIT, OFFSET, DISTINCT or HAVING")
         if len(statement.tables) > 1 and (statement.group or statement.window):
             raise E.InvalidSQLStatement("a grouped stream takes one table")
         if any(t.select for t in statement.tables):

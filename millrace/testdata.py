@@ -98,6 +98,13 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "order_by": ("SELECT o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderkey", "SELECT o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderkey"),
     "order_by_unselected": ("SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey"),
     "desc_limit": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
+    "between": ("SELECT o_orderkey FROM orders WHERE o_custkey BETWEEN 10 AND 20 AND o_orderdate NOT BETWEEN '01.01.1995' AND '31.12.1996'", "SELECT o_orderkey FROM orders WHERE o_custkey BETWEEN 10 AND 20 AND o_orderdate NOT BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31'"),
+    "offset": ("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10 OFFSET 5", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10 OFFSET 5"),
+    "nulls_first": ("SELECT n.n, n.t FROM (SELECT o_orderkey n, TO_NUMBER(o_orderstatus) t FROM orders WHERE o_orderkey < 40) n ORDER BY n.t NULLS FIRST, n.n DESC", "SELECT o_orderkey AS nn, NULL::DOUBLE AS nt FROM orders WHERE o_orderkey < 40 ORDER BY nt NULLS FIRST, nn DESC"),
+    "union": ("SELECT c_nationkey k FROM customer WHERE c_custkey < 50 UNION SELECT s_nationkey FROM supplier", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 50 UNION SELECT s_nationkey FROM supplier"),
+    "union_all": ("SELECT c_nationkey k FROM customer UNION ALL SELECT s_nationkey FROM supplier", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier"),
+    "intersect": ("SELECT c_nationkey k FROM customer WHERE c_custkey < 20 INTERSECT SELECT s_nationkey FROM supplier", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 20 INTERSECT SELECT s_nationkey FROM supplier"),
+    "except": ("SELECT c_nationkey k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier"),
     "to_char": ("SELECT o_orderkey, TO_CHAR(o_custkey) customer FROM orders", "SELECT o_orderkey, o_custkey::VARCHAR AS customer FROM orders"),
     "to_number": ("SELECT v.k, TO_NUMBER(v.t) number FROM (SELECT o_orderkey k, TO_CHAR(o_totalprice) t FROM orders) v", "SELECT o_orderkey AS vk, o_totalprice AS number FROM orders"),
     "to_number_of_text": ("SELECT n_name, TO_NUMBER(n_name) number FROM nation", "SELECT n_name, try_cast(n_name AS DOUBLE) AS number FROM nation"),
