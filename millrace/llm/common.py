@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import removed, shared_dir
+
 #: Bytes of text that one step of a Python operator holds at a time.
 SLICE_BYTES = 8 << 20
 
@@ -21,21 +23,37 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, a local one only if unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.gettempdir()}/millrace-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+_WRITTEN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
+
+@contextlib.contextmanager
+def tracked(paths: list[str]) -> Iterator[None]:
+    """Adds to `paths` where stored() writes meanwhile, for removed() later."""
+    token = _WRITTEN.set(paths)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df into the shared folder and reads it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Writes df into the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    It stays until the application ends, unless dropped() or removed() before.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (paths := _WRITTEN.get()) is not None:
+        paths.append(path)
+    df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": str(level)}).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes a table of stored() that nothing will read again."""
+    removed(df.sparkSession, df.stored_at)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

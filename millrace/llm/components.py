@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, stored
+from .common import dropped, salted_join, stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = state(edges)
     if before[0]:
         for _ in range(rounds):
-            edges = stored(_small_star(_large_star(edges)).distinct(), "edges")
+            last, edges = edges, stored(_small_star(_large_star(edges)).distinct(), "edges")
+            dropped(last)
             after = state(edges)
             if after == before:
                 break
