@@ -1,12 +1,14 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
-The probability of a token is that of its class given what stands before, times that of the
-token in its class. Classes are the most frequent tokens, each alone, and hashed word endings
-for all others. The class softmax is a maximum-entropy model over hashed features: the word
-before (n-gram), the word two back (skip) and the classes of both; its weights have a fixed
-size and are trained by distributed gradient updates: in each round, every task descends on
-its own share of the training tokens, and the weights' changes are averaged, row by row, by
-how many tokens each task had for a row. In a class, a token's share is its smoothed count.
+The probability of a token is that of its class given what stands before, times that of its
+bucket in the class given the same, times the token's smoothed share of its bucket's counts.
+Classes are the most frequent tokens, each alone, and hashed word endings for all others, whose
+words are hashed into buckets. Both softmaxes are maximum-entropy models over hashed features: the
+word before (n-gram), the word two back (skip) and the classes of both; the buckets' features also
+hold the class. The weights are trained by distributed gradient updates: in each round, every task
+descends on its own share of the training tokens, and the weights' changes are averaged, row by
+row, by how many tokens each task had for a row. Changes move in blocks of rows and are added
+up in a tree, so that what a task reads doesn't grow with the number of tasks.
 
 Counts are exact and of all training tokens: bundles of documents send each distinct word with
 its count once, dealt by the word's hash (96 bits), and get totals back, so that a frequent
@@ -26,21 +28,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, reducers, stored
-from .suffix import Bundle, bundles
+from .common import batch, dropped, reducers, stored
+from .suffix import BUNDLE, Bundle, bundles, growth
 
 FOLDS, HELD_OUT = 7, 2
 ALONE = 24  # most frequent tokens that are classes of their own
 CLASSES = 64
-HASHED = 4096  # rows for each kind of feature
+BUCKETS = 16  # of the words of a class
+#: Rows for each kind of feature, of the classes' weights and of the buckets'.
+HASHED, HASHED_IN = 4096, 8192
 KINDS = 3
+#: Rows of weights that move together, and tasks whose changes (or deals whose sums) are added up at a time.
+ROWS, FAN = 1024, 64
 ROUNDS = 3
 SLICE = 16_000
 RATE = 0.6
-PART = 32 << 20
+PART = 32 << 20  # bytes of text for each deal
 _WORD = np.dtype([("a", "<u8"), ("b", "<u4"), ("ending", "u1"), ("n", "<u4")])
 _KEY = np.dtype([("a", "<u8"), ("b", "<u4")])
 _MARKS = b".,;:!?\"'()[]*%&$#|-"
@@ -127,10 +134,12 @@ def total(key: tuple, table: pa.Table) -> pa.Table:
     answer[order] = np.repeat(c, np.diff(np.append(start, len(w))))
     first = order[start]
     ending = w["ending"][first].astype(np.int64)
+    cell = ending * BUCKETS + bucket_of(w["b"][first])
     most = np.argsort(-c, kind="stable")[:ALONE]
     most = most[c[most] > 0]
+    cells = (CLASSES - ALONE) * BUCKETS
     sums = {
-        "n": np.bincount(ending, c, CLASSES - ALONE).astype(np.int64).tolist(), "v": np.bincount(ending, c > 0, CLASSES - ALONE).astype(np.int64).tolist(),
+        "n": np.bincount(cell, c, cells).astype(np.int64).tolist(), "v": np.bincount(cell, c > 0, cells).astype(np.int64).tolist(),
         "most": [[int(c[k]), int(w["a"][first[k]]), int(w["b"][first[k]]), int(ending[k])] for k in most],
     }
     cuts = np.cumsum([len(x) // _WORD.itemsize for x in blobs])[:-1]
@@ -138,29 +147,56 @@ def total(key: tuple, table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch(_ANSWER, *(list(x) for x in zip(*rows)))])
 
 
+def bucket_of(b: np.ndarray) -> np.ndarray:
+    return (b % np.uint32(BUCKETS)).astype(np.int64)
+
+
+def merged(rows: list[bytes]) -> dict:
+    """The sums of several deals as those of one: counts, and the most frequent tokens by count and then hash."""
+    sums = [json.loads(r) for r in rows]
+    zero = np.zeros((CLASSES - ALONE) * BUCKETS, np.int64)
+    n, v = (np.sum([zero, *(np.array(s[k], np.int64) for s in sums)], axis=0) for k in ("n", "v"))
+    most = sorted((m for s in sums for m in s["most"]), key=lambda m: (-m[0], m[1:]))[:ALONE]
+    return {"n": n.tolist(), "v": v.tolist(), "most": most}
+
+
+def added_up(sums: DataFrame, deals: int) -> dict:
+    """merged() over all deals (deal, answer), some at a time."""
+
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([batch(_ANSWER, [TOTALS], [key[0].as_py()], [json.dumps(merged(t.column("answer").to_pylist())).encode()])])
+
+    while deals > FAN:
+        sums = sums.withColumn("deal", F.floor(F.col("deal") / FAN).cast("int")).groupBy("deal").applyInArrow(add, "bundle long, deal int, answer binary")
+        deals = -(-deals // FAN)
+    return merged([r["answer"] for r in sums.select("answer").collect()])
+
+
 class Totals:
-    """Counts of all training tokens: N, V, and by class."""
-
-    def __init__(self, rows: list[bytes]):
-        sums = [json.loads(r) for r in rows]
-        n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for s in sums:
-            n[ALONE:] += s["n"]
-            v[ALONE:] += s["v"]
+    """Counts of all training tokens: N, V, by class, and by bucket of a class."""
+
+    def __init__(self, sums: dict):
+        n, v = (np.concatenate([np.zeros((ALONE, BUCKETS), np.int64), np.array(sums[k], np.int64).reshape(-1, BUCKETS)]) for k in ("n", "v"))
         self.n, self.v = int(n.sum()), int(v.sum())
         #: the most frequent tokens, by count and then hash
-        self.alone = sorted((tuple(m) for s in sums for m in s["most"]), key=lambda m: (-m[0], m[1:]))[:ALONE]
-        for k, (c, _, _, ending) in enumerate(self.alone):
-            n[k], v[k] = c, 1
-            n[ALONE + ending] -= c
-            v[ALONE + ending] -= 1
-        self.class_n, self.class_v = n, v
-        #: a class without training tokens has the share of one unseen token
-        self.bias = np.log((n + v + 1) / (n + v + 1).sum()).astype(np.float32)
-
-
-_READY = pa.schema([("bundle", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("held", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary()), ("counts", pa.binary()), ("rows", pa.binary()), ("classes", pa.binary())])
-READY = "bundle long, ids binary, nulls binary, held binary, lengths binary, tokens binary, counts binary, rows binary, classes binary"
+        self.alone = [tuple(m) for m in sums["most"]]
+        for k, (c, _, b, ending) in enumerate(self.alone):
+            bucket = b % BUCKETS
+            n[k, bucket], v[k, bucket] = c, 1
+            n[ALONE + ending, bucket] -= c
+            v[ALONE + ending, bucket] -= 1
+        self.bucket_n, self.bucket_v = n, v
+        self.class_n, self.class_v = n.sum(axis=1), v.sum(axis=1)
+        #: what has no training tokens has the share of one unseen token
+        self.bias = np.log((self.class_n + self.class_v + 1) / (self.class_n + self.class_v + 1).sum()).astype(np.float32)
+        self.bias_in = np.log((n + v + 1) / (n + v + 1).sum(axis=1, keepdims=True)).astype(np.float32)
+        #: a token's share of its bucket is its count and one, over this; of its class, if that is a single token
+        self.unit = np.log(n + v + 1.0)
+        self.unit[:ALONE] = np.log(self.class_n[:ALONE] + self.class_v[:ALONE] + 1.0)[:, None]
+
+
+_READY = pa.schema([("bundle", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("held", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary()), ("counts", pa.binary()), ("rows", pa.binary()), ("classes", pa.binary()), ("buckets", pa.binary())])
+READY = "bundle long, ids binary, nulls binary, held binary, lengths binary, tokens binary, counts binary, rows binary, classes binary, buckets binary"
 
 
 def ready(left: pa.Table, right: pa.Table, deals: int, totals: Totals) -> pa.Table:
@@ -177,7 +213,7 @@ def ready(left: pa.Table, right: pa.Table, deals: int, totals: Totals) -> pa.Tab
     for k, (_, a, b, _) in enumerate(totals.alone):
         classes[(w.a == np.uint64(a)) & (w.b == np.uint32(b))] = k
     features = ((w.a >> np.uint64(20)) % np.uint64(HASHED)).astype(np.uint16)
-    out = [rows[0]["bundle"]], [w.ids.tobytes()], [w.nulls.tobytes()], [w.held.tobytes()], [w.lengths.tobytes()], [_compressed(w.tokens)], [_compressed(c)], [_compressed(features)], [_compressed(classes)]
+    out = [rows[0]["bundle"]], [w.ids.tobytes()], [w.nulls.tobytes()], [w.held.tobytes()], [w.lengths.tobytes()], [_compressed(w.tokens)], [_compressed(c)], [_compressed(features)], [_compressed(classes)], [_compressed(bucket_of(w.b).astype(np.uint8))]
     return pa.Table.from_batches([batch(_READY, *out)])
 
 
@@ -196,6 +232,13 @@ class Ready:
         c1, c2 = classes[one].astype(np.int64), classes[two].astype(np.int64)
         #: feature rows of each token: by the word before, the word two back, and both classes
         self.features = np.stack([rows[one].astype(np.int64), HASHED + rows[two].astype(np.int64), 2 * HASHED + c1 * CLASSES + c2], axis=1)
+        self.buckets = _read(row["buckets"], "u1")[tokens]
+
+
+def inner_features(features: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Feature rows of the buckets' weights: the outer rows hashed with the class."""
+    h = (features.astype(np.uint64) * np.uint64(CLASSES) + classes[:, None].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(40)) % np.uint64(HASHED_IN)).astype(np.int64) + HASHED_IN * np.arange(KINDS)
 
 
 def exponentials(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,76 +283,121 @@ def descend(weights: np.ndarray, seen: np.ndarray, bias: np.ndarray, features: n
         weights[row] += (np.add.reduceat(np.take(slope, order, axis=1), start, axis=1) * step.astype(np.float32)).T
 
 
-_CHANGE = pa.schema([("kind", pa.int32()), ("seen", pa.binary()), ("change", pa.binary())])
+class Weights:
+    """Weights of classes and of buckets, and how many tokens each row has seen."""
 
+    def __init__(self):
+        self.outer, self.inner = np.zeros((KINDS * HASHED, CLASSES), np.float32), np.zeros((KINDS * HASHED_IN, BUCKETS), np.float32)
+        self.seen_outer, self.seen_inner = np.zeros(KINDS * HASHED), np.zeros(KINDS * HASHED_IN)
 
-def trained(table: DataFrame, bias: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(self.outer, self.seen_outer), (self.inner, self.seen_inner)]
+
+    def descend(self, r: Ready, t: np.ndarray, totals: Totals) -> None:
+        """An update from the tokens t of a bundle."""
+        features, classes = r.features[t], r.classes[t]
+        descend(self.outer, self.seen_outer, totals.bias, features, classes)
+        inside = classes >= ALONE
+        if inside.any():
+            classes = classes[inside]
+            descend(self.inner, self.seen_inner, totals.bias_in[classes], inner_features(features[inside], classes), r.buckets[t][inside])
+
+    def log_probability(self, r: Ready, s: slice, totals: Totals) -> np.ndarray:
+        """Of each of some tokens."""
+        features, classes, buckets = r.features[s], r.classes[s], r.buckets[s]
+        out = log_share(self.outer, totals.bias, features, classes) + np.log(r.counts[s] + 1.0) - totals.unit[classes, buckets]
+        inside = classes >= ALONE
+        c = classes[inside]
+        out[inside] += log_share(self.inner, totals.bias_in[c], inner_features(features[inside], c), buckets[inside])
+        return out
+
+
+_CHANGE = pa.schema([("part", pa.int64()), ("level", pa.int32()), ("block", pa.int32()), ("seen", pa.binary()), ("change", pa.binary())])
+CHANGE = "part long, level int, block int, seen binary, change binary"
+
+
+def trained(table: DataFrame, totals: Totals, rounds: int = ROUNDS) -> Weights:
     """Weights after rounds of distributed updates; each round takes the bundles that are its turn, so that all are seen once."""
     shared = table.sparkSession.sparkContext.broadcast
-    weights = np.zeros((KINDS * HASHED, CLASSES), np.float32)
+    weights = Weights()
     for turn in range(rounds):
         base = shared(weights)
 
         def update(batches: Iterator[pa.RecordBatch], base=base) -> Iterator[pa.RecordBatch]:
-            mine, seen = None, np.zeros(KINDS * HASHED)
+            mine = None
             for b in batches:
                 for row in b.to_pylist():
-                    mine = base.value.copy() if mine is None else mine
+                    if mine is None:
+                        mine = Weights()
+                        mine.outer, mine.inner = base.value.outer.copy(), base.value.inner.copy()
                     r = Ready(row)
                     take = np.flatnonzero(np.repeat(~r.held, r.lengths))
                     for a in range(0, len(take), SLICE):
-                        t = take[a : a + SLICE]
-                        descend(mine, seen, bias, r.features[t], r.classes[t])
+                        mine.descend(r, take[a : a + SLICE], totals)
             if mine is not None:
-                for k in range(KINDS):
-                    part = slice(k * HASHED, (k + 1) * HASHED)
-                    yield batch(_CHANGE, [k], [seen[part].tobytes()], [((mine[part] - base.value[part]) * seen[part, None]).astype(np.float32).tobytes()])
+                part = TaskContext.get().partitionId() if TaskContext.get() else 0
+                for level, ((now, seen), (was, _)) in enumerate(zip(mine.tables(), base.value.tables())):
+                    for a in range(0, len(now), ROWS):
+                        s = slice(a, a + ROWS)
+                        yield batch(_CHANGE, [part], [level], [a // ROWS], [seen[s].tobytes()], [((now[s] - was[s]) * seen[s, None]).astype(np.float32).tobytes()])
 
         def add(key: tuple, t: pa.Table) -> pa.Table:
-            seen, change = np.zeros(HASHED), np.zeros((HASHED, CLASSES))
-            for s, c in zip(t.column("seen"), t.column("change")):
-                seen += np.frombuffer(s.as_py())
-                change += np.frombuffer(c.as_py(), np.float32).reshape(HASHED, CLASSES)
-            return pa.Table.from_batches([batch(_CHANGE, [key[0].as_py()], [seen.tobytes()], [(change / np.maximum(seen, 1)[:, None]).astype(np.float32).tobytes()])])
+            part, level, block = (k.as_py() for k in key)
+            seen = sum(np.frombuffer(x.as_py()) for x in t.column("seen"))
+            change = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in t.column("change"))
+            return pa.Table.from_batches([batch(_CHANGE, [part], [level], [block], [seen.tobytes()], [change.astype(np.float32).tobytes()])])
 
-        schema = "kind int, seen binary, change binary"
         turns = table.where(F.pmod(F.xxhash64("bundle"), F.lit(rounds)) == turn)
-        weights = weights.copy()
-        for r in turns.mapInArrow(update, schema).groupBy("kind").applyInArrow(add, schema).collect():
-            weights[r["kind"] * HASHED : (r["kind"] + 1) * HASHED] += np.frombuffer(r["change"], np.float32).reshape(HASHED, CLASSES)
+        changes, tasks = turns.mapInArrow(update, CHANGE), turns.rdd.getNumPartitions()
+        while tasks > 1:
+            changes = changes.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part", "level", "block").applyInArrow(add, CHANGE)
+            tasks = -(-tasks // FAN)
+        following = Weights()
+        following.outer, following.inner = weights.outer.copy(), weights.inner.copy()
+        for r in changes.collect():  # one row for each block
+            now = following.tables()[r["level"]][0]
+            seen = np.frombuffer(r["seen"])
+            s = slice(r["block"] * ROWS, r["block"] * ROWS + len(seen))
+            now[s] += np.frombuffer(r["change"], np.float32).reshape(len(seen), -1) / np.maximum(seen, 1)[:, None].astype(np.float32)
+        weights = following
     return weights
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """Log10 probabilities of every document under the unigram base and under the model."""
+def learned(docs: DataFrame) -> tuple[DataFrame, Totals, Weights]:
+    """The prepared bundles of all documents, and the model of the training ones."""
     spark = docs.sparkSession
-    table = stored(bundles(docs), "bundles")
+    grown = growth(docs)
+    table = stored(bundles(docs, int(BUNDLE * grown)), "bundles")
     size = table.agg(F.sum("bytes")).first()[0] or 0
-    deals = max(reducers(spark), -(-size // PART))
+    deals = max(reducers(spark), -(-size // int(PART * grown)))
     answers = stored(counts(table, deals).groupBy("deal").applyInArrow(total, "bundle long, deal int, answer binary"), "counts")
-    totals = Totals([r["answer"] for r in answers.where(F.col("bundle") == TOTALS).collect()])
+    totals = Totals(added_up(answers.where(F.col("bundle") == TOTALS), deals))
     own = answers.where(F.col("bundle") != TOTALS)
     prepared = stored(table.groupBy("bundle").cogroup(own.groupBy("bundle")).applyInArrow(lambda a, b: ready(a, b, deals, totals), READY), "tokens")
-    weights = spark.sparkContext.broadcast(trained(prepared, totals.bias))
+    dropped(table)
+    dropped(answers)
+    return prepared, totals, trained(prepared, totals)
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """Log10 probabilities of every document under the unigram base and under the model."""
+    prepared, totals, weights = learned(docs)
+    weights = docs.sparkSession.sparkContext.broadcast(weights)
     base_unit = math.log10(totals.n + totals.v + 1)
-    unit = np.log(totals.class_n + totals.class_v + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 r = Ready(row)
-                log_count = np.log(r.counts + 1.0)
-                model = np.empty(len(log_count))
+                model = np.empty(len(r.counts))
                 for a in range(0, len(model), SLICE):
-                    s = slice(a, a + SLICE)
-                    k = r.classes[s]
-                    model[s] = log_share(weights.value, totals.bias, r.features[s], k) + log_count[s] - unit[k]
+                    model[a : a + SLICE] = weights.value.log_probability(r, slice(a, a + SLICE), totals)
                 add = lambda x: np.add.reduceat(x, r.first)
                 names = [None if null else i for i, null in zip(r.ids.tolist(), r.nulls.tolist())]
-                base = add(log_count) / math.log(10) - r.lengths * base_unit
+                base = add(np.log(r.counts + 1.0)) / math.log(10) - r.lengths * base_unit
                 yield batch(_SCORES, names, r.held, r.lengths, add((r.counts > 0).astype(np.int64)), np.full(len(names), totals.n), base, add(model) / math.log(10))
 
     return prepared.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

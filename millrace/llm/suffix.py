@@ -26,6 +26,7 @@ other; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +41,9 @@ SPAN = 50  # bytes of a string that counts
 GRAM = 24  # bytes of an anchor
 #: Bytes of text in a bundle, in a block that is worked on at a time, and of all text for each part of the deal.
 BUNDLE, BLOCK, PART = 4 << 20, 1 << 19, 12 << 20
+#: Above so many bytes of text bundles and parts grow with the root of the table, up to MOST times, since rows that
+#: move are bundles times parts.
+STEADY, MOST = 32 << 30, 16
 #: About so many pieces are sorted as one collection; the pieces of an anchor stay together.
 COLLECTION = 5000
 #: One anchor in so many ends a segment.
@@ -125,8 +129,14 @@ def blocks(texts: list[bytes], deals: int, span: int) -> Iterator[Block]:
         yield Block(parts, deals, span)
 
 
-def bundles(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Documents in bundles: (bundle, bytes, ids, nulls, lengths, body), the body compressed; with carry, also those columns as `rest`."""
+def growth(docs: DataFrame) -> float:
+    """By how much bundles and parts of this table are larger than those of small ones."""
+    total = docs.agg(F.sum(F.octet_length(docs["text"]))).first()[0] or 0
+    return min(MOST, max(1.0, math.sqrt(total / STEADY)))
+
+
+def bundles(docs: DataFrame, most: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Documents in bundles of about `most` bytes: (bundle, bytes, ids, nulls, lengths, body), the body compressed; with carry, also those columns as `rest`."""
     fields = [("bundle", pa.int64()), ("bytes", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("lengths", pa.binary()), ("body", pa.binary())]
     schema = pa.schema(fields + [("rest", pa.binary())] * bool(carry))
 
@@ -152,10 +162,10 @@ def bundles(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             rest.clear()
             return out
 
-        for b in text_slices(batches, most=BUNDLE):
+        for b in text_slices(batches, most=most):
             at = 0
             for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), utf8(b.column(1)))):
-                if size and size + len(t) > BUNDLE:
+                if size and size + len(t) > most:
                     rest.append(b.slice(at, k - at).select(range(2, b.num_columns)))
                     at = k
                     yield flush()
@@ -508,7 +518,9 @@ def repeats_removed(docs: DataFrame, span: int = SPAN, keep: bool = False) -> Da
     span: 32 to 80 bytes, so that the strings of an anchor fit into a word of bits.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep
-    return _with_answers(stored(bundles(docs), "bundles"), span, lambda a, b, deals: judge(a, b, deals, span, keep), schema)
+    grown = growth(docs)
+    table = stored(bundles(docs, int(BUNDLE * grown)), "bundles")
+    return _with_answers(table, int(PART * grown), span, lambda a, b, deals: judge(a, b, deals, span, keep), schema)
 
 
 def cleaned(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -533,16 +545,17 @@ def cleaned(docs: DataFrame, span: int = SPAN) -> DataFrame:
         out = out.append_column("text", pa.array([None if n else k for k, n in zip(kept, null)], pa.string()))
         return out.filter(pa.array(stay))
 
-    table = stored(bundles(docs.withColumn(flag, docs["text"].isNull()), (*others, flag)), "bundles")
-    return _with_answers(table, span, finish, schema).select(*docs.columns)
+    grown = growth(docs)
+    table = stored(bundles(docs.withColumn(flag, docs["text"].isNull()), int(BUNDLE * grown), (*others, flag)), "bundles")
+    return _with_answers(table, int(PART * grown), span, finish, schema).select(*docs.columns)
 
 
-def _with_answers(table: DataFrame, span: int, finish: Callable[[pa.Table, pa.Table, int], pa.Table], schema) -> DataFrame:
+def _with_answers(table: DataFrame, part: int, span: int, finish: Callable[[pa.Table, pa.Table, int], pa.Table], schema) -> DataFrame:
     if not 32 <= span <= 80:
         raise ValueError("span must be 32 to 80 bytes")
     spark = table.sparkSession
     total = table.agg(F.sum("bytes")).first()[0] or 0
-    deals = max(reducers(spark), -(-total // PART))
+    deals = max(reducers(spark), -(-total // part))
     first = stored(sketch(table, deals, span).groupBy("deal").applyInArrow(match, ANSWER), "answers")
     by_bundle = lambda x: x.groupBy("bundle")
     pieces = by_bundle(table).cogroup(by_bundle(first)).applyInArrow(lambda a, b: pieces_of(a, b, deals, span), "deal int, bundle long, docs binary, codes binary, lengths binary, body binary")

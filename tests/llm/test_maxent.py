@@ -1,4 +1,6 @@
+import json
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -44,8 +46,82 @@ def test_class_probabilities_sum_to_one():
     p = [np.exp(maxent.log_share(weights, np.zeros(maxent.CLASSES, np.float32), features, np.full(50, k))) for k in range(maxent.CLASSES)]
     assert np.allclose(np.sum(p, axis=0), 1, atol=1e-4)
     # in a class, its known words and one unseen word share everything
-    totals = maxent.Totals([b'{"n": [%s], "v": [%s], "most": [[7, 1, 2, 0]]}' % (b",".join([b"10"] * 40), b",".join([b"3"] * 40))])
-    assert (totals.n, totals.v) == (400, 120) and totals.class_n.sum() == 400 and totals.class_n[maxent.ALONE] == 3
+    sums = maxent.merged([b'{"n": [%s], "v": [%s], "most": [[7, 1, 2, 0]]}' % (b",".join([b"10"] * 640), b",".join([b"3"] * 640))])
+    totals = maxent.Totals(sums)
+    assert (totals.n, totals.v) == (6400, 1920) and totals.class_n.sum() == 6400 and totals.class_n[maxent.ALONE] == 153
+    assert np.allclose(np.exp(totals.bias).sum(), 1) and np.allclose(np.exp(totals.bias_in).sum(axis=1), 1)
+
+
+def plain_scores(rows, totals, weights):
+    """Each document's score from its words, one token and one class at a time."""
+    import xxhash
+
+    def word(w):
+        raw = xxhash.xxh3_128_digest(w)[:12]
+        a, b = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:], "little")
+        ending = int.from_bytes(w.rstrip(b".,;:!?\"'()[]*%&$#|-")[-2:], "big") * 40503 % 65521 % 40
+        single = [(x, y) for _, x, y, _ in totals.alone]
+        return single.index((a, b)) if (a, b) in single else 24 + ending, b % 16, (a >> 20) % 4096
+
+    texts = {i: [*re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower()), b""] for i, t in rows}
+    c = Counter(w for i, ws in texts.items() if not maxent.held_out(i) for w in ws)
+    known = {w: word(w) for ws in texts.values() for w in ws}
+    out = {}
+    for i, ws in texts.items():
+        score, before = 0.0, [b"", b""]
+        for w in ws:
+            (k, bucket, _), (c1, _, r1), (c2, _, r2) = known[w], known[before[-1]], known[before[-2]]
+            outer = [r1, 4096 + r2, 2 * 4096 + c1 * 64 + c2]
+            logits = [float(totals.bias[j]) + sum(float(weights.outer[f, j]) for f in outer) for j in range(64)]
+            score += logits[k] - math.log(sum(map(math.exp, logits)))
+            if k < 24:
+                score += math.log((c[w] + 1) / (totals.class_n[k] + totals.class_v[k] + 1))
+            else:
+                inner = [((f * 64 + k) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % 8192 + 8192 * j for j, f in enumerate(outer)]
+                logits = [float(totals.bias_in[k, j]) + sum(float(weights.inner[f, j]) for f in inner) for j in range(16)]
+                score += logits[bucket] - math.log(sum(map(math.exp, logits)))
+                mine = [x for x, (y, z, _) in known.items() if (y, z) == (k, bucket) and c[x]]
+                score += math.log((c[w] + 1) / (sum(c[x] for x in mine) + len(mine) + 1))
+            before.append(w)
+        out[i] = score / math.log(10)
+    return out
+
+
+def test_scores_match_a_plain_computation(docs_of):
+    rng = random.Random(7)
+    words = ["w%d%s" % (i, rng.choice(["ing", "ed", "s,", "."])) for i in range(60)]
+    rows = [(i, " ".join(words[min(int(rng.expovariate(0.08)), 59)] for _ in range(rng.randrange(0, 25)))) for i in range(120)] + [(500, None), (501, "never seen")]
+    docs = docs_of(rows)
+    _, totals, weights = maxent.learned(docs)
+    assert np.abs(weights.outer).max() > 0.01 and np.abs(weights.inner).max() > 0.01
+    want = plain_scores(rows, totals, weights)
+    for r in maxent.scored(docs).collect():
+        assert r.score == pytest.approx(want[r.doc_id], rel=2e-4)
+
+
+def test_sums_in_a_tree_are_the_sums(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "FAN", 3)
+    rng = random.Random(9)
+    rows = [(-1, d, json.dumps({"n": [rng.randrange(9) for _ in range(640)], "v": [1] * 640, "most": [[rng.randrange(99), d, k, 0] for k in range(24)]}).encode()) for d in range(40)]
+    assert maxent.added_up(spark.createDataFrame(rows, "bundle long, deal int, answer binary"), 40) == maxent.merged([r[2] for r in rows])
+
+
+def test_an_update_follows_the_gradient():
+    rng = np.random.default_rng(5)
+    features, classes, bias = rng.integers(0, 6, (40, 3)) + np.array([0, 10, 20]), rng.integers(0, 4, 40), rng.normal(size=(40, 4)).astype(np.float32)
+    weights, seen = rng.normal(size=(30, 4)).astype(np.float32), np.zeros(30)
+    total = lambda w: float(maxent.log_share(w, bias, features, classes).astype(np.float64).sum())
+    after = weights.copy()
+    maxent.descend(after, seen, bias, features, classes)
+    for row in (0, 12, 25):
+        n = np.count_nonzero(features == row)
+        for k in range(4):
+            up, down = weights.copy(), weights.copy()
+            up[row, k] += 0.01
+            down[row, k] -= 0.01
+            slope = (total(up) - total(down)) / 0.02
+            # rows of later kinds see the same slope: an update is of one point
+            assert (after - weights)[row, k] == pytest.approx(slope * maxent.RATE / (n + 8) / np.sqrt(1 + n / 4096), abs=2e-3)
 
 
 def test_updates_raise_the_likelihood():

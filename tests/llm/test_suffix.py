@@ -99,3 +99,15 @@ def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     check(rows, suffix.repeats_removed(docs))
+
+
+def test_larger_bundles_and_parts_give_the_same(docs_of, monkeypatch):
+    rng = random.Random(21)
+    rows = list(enumerate(overlapping(rng, 80, 500)))
+    docs = docs_of(rows).repartition(3)
+    assert suffix.growth(docs) == 1
+    monkeypatch.setattr(suffix, "STEADY", 1000)
+    assert 1 < suffix.growth(docs) <= suffix.MOST
+    monkeypatch.setattr(suffix, "BUNDLE", 500)
+    monkeypatch.setattr(suffix, "PART", 2000)
+    check(rows, suffix.repeats_removed(docs))
