@@ -171,12 +171,17 @@ def identified_with_folds(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold() == 0, F.lit(True)).alias("held_out"), "lang_pred", "score", "n_letters")
 
 
-#: Long texts whose best cosine is below this are in none of the languages.
-LEAST_SCORE, LEAST_LETTERS = 0.15, 200
+#: A text of n letters whose best cosine is below LEAST_SCORE * n / (n + HALF_LETTERS) is in none of the languages.
+LEAST_SCORE, HALF_LETTERS = 0.15, 100
+
+
+def bar(letters: np.ndarray) -> np.ndarray:
+    """The least cosine that a text of so many letters must have: few letters prove little."""
+    return LEAST_SCORE * letters / (letters + HALF_LETTERS)
 
 
 def in_known_languages(docs: DataFrame) -> DataFrame:
-    """docs without those that have no letters, or that have many and resemble no language; a missing label is filled in."""
+    """docs without those that have no letters, or that resemble no language for their number of letters; a missing label is filled in."""
     names, prototypes = fit(pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()))
     dimensions = prototypes.shape[1]
     order = docs.columns
@@ -187,7 +192,7 @@ def in_known_languages(docs: DataFrame) -> DataFrame:
         for b in text_slices(batches, most=1 << 20):
             vectors, letters = bundled([t or "" for t in b.column(text).to_pylist()], dimensions)
             cosines = vectors @ prototypes.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9) if names else np.ones((len(letters), 1))
-            stays = (letters > 0) & ((letters < LEAST_LETTERS) | (cosines.max(axis=1) >= LEAST_SCORE))
+            stays = (letters > 0) & (cosines.max(axis=1) >= bar(letters))
             langs = b.column(lang).to_pylist()
             if names and None in langs:
                 best = cosines.argmax(axis=1).tolist()
