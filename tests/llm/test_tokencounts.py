@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from millrace.llm import tokencounts
 from tokenizers import Tokenizer
 
