@@ -8,6 +8,7 @@ them are crossed last.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -139,10 +140,10 @@ class Lowering:
         conjuncts = [] if where is None else list(where.parts) if isinstance(where, S.And) else [where]
         find = lambda e: self.operand(scope, e)
         semi = [c for c in conjuncts if isinstance(c, S.InSelect)]
-        waiting = [(self.tables_of(scope, c), self.condition(c, find), isinstance(c, S.Compare) and c.operator == "=") for c in conjuncts if not isinstance(c, S.InSelect)]
+        waiting = [(self.tables_of(scope, c), self.condition(c, find), isinstance(c, S.Compare) and c.operator == "=", c) for c in conjuncts if not isinstance(c, S.InSelect)]
         frames = {a: scope.renamed(a, scope.views[a] if a in scope.views else self.read(e)) for a, e in scope.entities.items()}
         for a in frames:
-            for used, condition, _ in waiting:
+            for used, condition, *_ in waiting:
                 if used == {a}:
                     frames[a] = frames[a].where(condition)
         waiting = [w for w in waiting if len(w[0]) > 1]
@@ -156,16 +157,15 @@ class Lowering:
             best = max(others, key=lambda a: (any(w[2] for w in links(a)), bool(links(a)), -others.index(a)))
             now = links(best)
             if now:
-                on = now[0][1]
-                for w in now[1:]:
-                    on = on & w[1]
-                out = out.join(frames[best], on)
+                ways = [] if any(w[2] for w in now) else next((w[3].parts for w in now if self.any_equal(scope, w[3], best)), [])
+                rest = [w[1] for w in now if not ways or w[3].parts is not ways]
+                out = self.joined_by(out, frames[best], [self.condition(p, find) for p in ways], rest)
             else:
                 out = out.crossJoin(frames[best])
             waiting = [w for w in waiting if not any(w is x for x in now)]
             others.remove(best)
             done.add(best)
-        for _, condition, _ in waiting:
+        for _, condition, *_ in waiting:
             out = out.where(condition)
         for c in semi:
             found = scope.find(c.column.name)
@@ -182,6 +182,24 @@ class Lowering:
                 out = out.join(inner, found.column == F.col("_in"), "left_semi")
         return out
 
+    def any_equal(self, scope: Scope, c, alias: str) -> bool:
+        """Whether c is an OR of which each part is an equality between this table and others."""
+        sides = lambda p: (self.tables_of(scope, p.left), self.tables_of(scope, p.right))
+        return isinstance(c, S.Or) and all(isinstance(p, S.Compare) and p.operator == "=" and {alias} in sides(p) and set() not in sides(p) and sides(p)[0] != sides(p)[1] for p in c.parts)
+
+    def joined_by(self, left: DataFrame, right: DataFrame, ways: list[Column], every: list[Column]) -> DataFrame:
+        """The join on all of `every` and any of `ways`: a join for each way, without what an earlier one has given.
+
+        So an OR of equalities is several equality joins, not a comparison of all rows with all.
+        """
+        out, before = None, None
+        for way in ways or [None]:
+            on = [*every, *([] if way is None else [way]), *([] if before is None else [~F.coalesce(before, F.lit(False))])]
+            joined = left.join(right, functools.reduce(Column.__and__, on))
+            out = joined if out is None else out.union(joined)
+            before = way if before is None else before | way
+        return out
+
     def operand(self, scope: Scope, e) -> tuple[Column, DataType]:
         if isinstance(e, S.Column):
             found = scope.find(e.name)

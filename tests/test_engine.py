@@ -525,3 +525,12 @@ def test_ties_in_the_sequence_have_one_result(spark, make):
         s = make(t=("seq long, k string, v int", None, ("seq",), order))
         seen.append(values(s.execute("SELECT seq, k, SUM(v) s FROM t WINDOW BY seq INTERVAL = 4")) + values(s.replay("SELECT STREAM k, LAST(v) v FROM t GROUP BY k")))
     assert seen[0] == seen[1]
+
+
+def test_an_or_of_equalities_joins_by_keys(make):
+    rows = [(1, 1, 2), (2, None, 3), (3, 3, 3), (4, None, None), (5, 9, 1), (6, 2, None)]
+    s = make(a=("id long, x int, y int", "id", (), rows), b=("k int, v string", None, (), [(1, "p"), (2, "q"), (3, "r"), (3, "s"), (None, "t")]))
+    df = s.execute("SELECT id, v FROM a, b WHERE x = k OR y = k")
+    assert values(df) == sorted([(1, "p"), (1, "q"), (2, "r"), (2, "s"), (3, "r"), (3, "s"), (5, "p"), (6, "q")], key=repr)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2 and "(x" in plan and df._jdf.queryExecution().executedPlan().toString().count("NestedLoop") == 0
