@@ -171,13 +171,13 @@ def identified_with_folds(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold() == 0, F.lit(True)).alias("held_out"), "lang_pred", "score", "n_letters")
 
 
-#: A text of n letters whose best cosine is below LEAST_SCORE * n / (n + HALF_LETTERS) is in none of the languages.
-LEAST_SCORE, HALF_LETTERS = 0.15, 100
+#: A text of n letters whose best cosine is below LEAST_SCORE - DOUBT * FEW / (n + FEW) is in none of the languages.
+LEAST_SCORE, DOUBT, FEW = 0.17, 0.45, 50
 
 
 def bar(letters: np.ndarray) -> np.ndarray:
-    """The least cosine that a text of so many letters must have: few letters prove little."""
-    return LEAST_SCORE * letters / (letters + HALF_LETTERS)
+    """The least cosine that a text of so many letters must have: few letters prove little, and a handful nothing."""
+    return LEAST_SCORE - DOUBT * FEW / (letters + FEW)
 
 
 def in_known_languages(docs: DataFrame) -> DataFrame:
