@@ -35,7 +35,7 @@ LARGE = 4096
 #: About so many nodes stand in one packed array of a table.
 PACKED = 200_000
 #: Parts of tables for each reducer, so that each gets about as many.
-EACH = 64
+EACH = 4
 #: distinct() links sets of shingles from this Jaccard similarity on.
 LEAST_ALIKE = 0.8
 #: Its prints have so many words of 64 bits; each lane draws 64 of their bits and masks the first COVERED of them.
