@@ -40,10 +40,10 @@ from .common import batch, held, pick, reducers, stored, text_slices, trim, utf8
 SPAN = 50  # bytes of a string that counts
 GRAM = 24  # bytes of an anchor
 #: Bytes of text in a bundle, in a block that is worked on at a time, and of all text for each part of the deal.
-BUNDLE, BLOCK, PART = 4 << 20, 1 << 19, 12 << 20
+BUNDLE, BLOCK, PART = 4 << 20, 1 << 17, 12 << 20
 #: Above so many bytes of text bundles and parts grow with the root of the table, up to MOST times, since rows that
 #: move are bundles times parts.
-STEADY, MOST = 32 << 30, 16
+STEADY, MOST = 1 << 30, 16
 #: About so many pieces are sorted as one collection; the pieces of an anchor stay together.
 COLLECTION = 5000
 #: One anchor in so many ends a segment.
@@ -131,7 +131,11 @@ def blocks(texts: list[bytes], deals: int, span: int) -> Iterator[Block]:
 
 def growth(docs: DataFrame) -> float:
     """By how much bundles and parts of this table are larger than those of small ones."""
-    total = docs.agg(F.sum(F.octet_length(docs["text"]))).first()[0] or 0
+    return growth_at(docs.agg(F.sum(F.octet_length(docs["text"]))).first()[0] or 0)
+
+
+def growth_at(total: int) -> float:
+    """The same for a table with so many bytes of text."""
     return min(MOST, max(1.0, math.sqrt(total / STEADY)))
 
 
@@ -317,7 +321,7 @@ class Judged:
         self.least: dict[int, list[int]] = {}
         self.codes: dict[int, list[int]] = {}
         self.whole: list[np.ndarray] = []  # for each block, runs that are repeated as a whole
-        self.open: list[list[tuple[int, int, int, int]]] = []  # for each block: run, deal, number, document
+        self.open: list[np.ndarray] = []  # for each block, rows of run, deal, number and document
         for b, w in zip(self.found, which):
             docs = self.bundle.ids[np.array([p[0] for p in b.parts], np.int64)[b.owner]][b.segment] if len(b.lo) else b.lo
             whole = least[w[b.segment]] < docs
@@ -337,7 +341,7 @@ class Judged:
                     mins[k] = d
                 todo.append((r, deal, k, d))
             self.whole.append(np.flatnonzero(whole))
-            self.open.append(todo)
+            self.open.append(np.array(todo, np.int64).reshape(-1, 4))
 
 
 _PIECES = pa.schema([("deal", pa.int32()), ("bundle", pa.int64()), ("docs", pa.binary()), ("codes", pa.binary()), ("lengths", pa.binary()), ("body", pa.binary())])
@@ -481,10 +485,10 @@ def coverage(row: dict, answers: list[dict], deals: int, span: int) -> tuple[Bun
         change = np.zeros(len(b.buf) + 1, np.int32)
         np.add.at(change, b.lo[whole], 1)
         np.add.at(change, b.hi[whole] + span, -1)
-        if todo:
-            run, _, _, d = np.array(todo, np.int64).T
-            here = np.array([judged.least[x[1]][x[2]] for x in todo], np.int64)
-            got = np.array([bits[x[1]][x[2]] for x in todo], np.uint64)
+        if len(todo):
+            run, deal, number, d = todo.T
+            here = np.array([judged.least[x][k] for x, k in zip(deal.tolist(), number.tolist())], np.int64)
+            got = np.array([bits[x][k] for x, k in zip(deal.tolist(), number.tolist())], np.uint64)
             got[here < d] = np.uint64(0xFFFFFFFFFFFFFFFF)
             r, k = np.nonzero((got[:, None] >> np.arange(span - GRAM + 1, dtype=np.uint64)) & np.uint64(1))
             s = b.lo[run[r]] + k

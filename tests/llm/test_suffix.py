@@ -111,3 +111,12 @@ def test_larger_bundles_and_parts_give_the_same(docs_of, monkeypatch):
     monkeypatch.setattr(suffix, "BUNDLE", 500)
     monkeypatch.setattr(suffix, "PART", 2000)
     check(rows, suffix.repeats_removed(docs))
+
+
+def test_rows_that_move_grow_with_the_table():
+    def rows(total):
+        grown = suffix.growth_at(total)
+        return total / (suffix.BUNDLE * grown) * total / (suffix.PART * grown)
+
+    for total in (2 << 30, 10 << 30, 50 << 30, 200 << 30):
+        assert rows(total) <= 1.01 * total / suffix.STEADY * rows(suffix.STEADY)
