@@ -7,7 +7,8 @@ samples are resampled to 16-bit PCM of any rate by a windowed sinc filter, whose
 and sums are exact in double precision, so that PCM is the same on every machine.
 
 Media and PCM are columns of one table, which is stored and read back before anything is reported
-of it.
+of it. That is done for a part of the documents at a time, and a part's table goes when its digests
+are stored, so that the disk never holds the PCM of all.
 
 Defined results: a null text is empty; an empty payload becomes one padded unit; equal
 payloads give equal media, PCM and features; repeated rows are repeated; an empty table
@@ -26,13 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import batch, held, pick, text_slices, trim, utf8
+from .common import batch, dropped, held, pick, stored, text_slices, trim, utf8
 
 UNIT = 192  # payload bytes are padded to a multiple of this
 PAD = 32
 RATE = 8000
 ALAW, MULAW, ADPCM = 6, 7, 17  # fixed values: format tags of the WAV container
+#: Parts of the documents whose media and PCM are stored one after another.
+PARTS = 8
 BLOCK = 4 + UNIT  # an ADPCM block: predictor, step index, reserved byte, then the nibbles
 
 # Step sizes and index changes of IMA ADPCM.
@@ -229,3 +233,14 @@ def media_digests(media: DataFrame) -> DataFrame:
             yield batch(schema, b.column(0), b.column(1), [len(p) for p in payloads], [sha(p) for p in payloads], [zlib.crc32(p[-16:]) for p in payloads], [len(m) for m in files], [sha(m) for m in files], told, b.column(3))
 
     return pick(media, "doc_id", "n_bytes", "media", "codec", "pcm").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec int")
+
+
+def stored_digests(docs: DataFrame, rate: int = 16000) -> DataFrame:
+    """media_digests() of every document, from media and PCM that are stored and read back a part at a time."""
+    part = F.pmod(F.xxhash64(docs["doc_id"], docs["text"]), F.lit(PARTS))
+    found = []
+    for k in range(PARTS):
+        media = stored(media_columns(docs.where(part == k), rate), "media", level=6)
+        found.append(stored(media_digests(media), "digests"))
+        dropped(media)
+    return functools.reduce(DataFrame.union, found)

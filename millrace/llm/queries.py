@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, langid, maxent, media, oracles, packing, pii, simhash, suffix, tokencounts
-from .common import documents, stored
+from .common import documents
 
 
 def tokenizer_file(name: str) -> str:
@@ -39,12 +39,11 @@ def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.scored(documents(spark, sf_dir))
 
 
-#: Stored PCM of 16 kHz would take 1.7 times the documents' Parquet, of 2 kHz it takes 0.7.
-PCM_RATE = 2000
+PCM_RATE = 16000
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(stored(media.media_columns(documents(spark, sf_dir), PCM_RATE), "media", level=6))
+    return media.stored_digests(documents(spark, sf_dir), PCM_RATE)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

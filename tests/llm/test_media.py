@@ -124,3 +124,25 @@ def test_whole_table(spark, sf):
 
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     check(rows, queries.op6_media(spark, sf).collect(), queries.PCM_RATE)
+
+
+def test_query_stores_every_sample_a_part_at_a_time(spark, sf, monkeypatch):
+    from millrace.llm import queries
+
+    store, drop, there, most = media.stored, media.dropped, set(), []
+
+    def stored(df, name, **options):
+        out = store(df, name, **options)
+        if name == "media":
+            there.add(out.stored_at)
+            most.append((len(there), out.agg({"rate": "min"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(media, "stored", stored)
+    monkeypatch.setattr(media, "dropped", lambda df: (drop(df), there.discard(df.stored_at)))
+    rows = queries.op6_media(spark, sf).collect()
+    assert most == [(1, 16000)] * media.PARTS and not there
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    for r in rows:  # two samples of 16 kHz for each of 8 kHz
+        at_8k = r.payload_bytes // 192 * 385 if r.codec == media.ADPCM else r.payload_bytes
+        assert r.feature.startswith(f"n={2 * at_8k};")
