@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, dropped, held, pick, reducers, salted_join, stored, text_slices, trim, utf8
@@ -34,6 +34,8 @@ SEED = 42
 LARGE = 4096
 #: About so many nodes stand in one packed array of a table.
 PACKED = 200_000
+#: Members of several buckets that are compared as one group.
+TOGETHER = 8192
 #: Parts of tables for each reducer, so that each gets about as many.
 EACH = 4
 #: distinct() links sets of shingles from this Jaccard similarity on.
@@ -294,27 +296,32 @@ def lane_bits(prints: list[bytes], lanes: range = range(LANES)) -> Iterator[np.n
         yield np.packbits(bits[drawn], axis=0, bitorder="little").T.copy().view("<u8").ravel()
 
 
-def bounded(bits: np.ndarray, members: np.ndarray, depth: int = 0) -> list[np.ndarray]:
-    """The members of a bucket, in parts by ten further bits at a time, eight times over, if there are more than LARGE."""
-    if len(members) <= LARGE or depth > 1:
-        return [members]
-    out = []
-    for k in range(8):
-        drawn = np.random.default_rng([SEED, depth, k]).choice(np.arange(COVERED, 64), 10, replace=False)
-        mask = np.bitwise_or.reduce(np.uint64(1) << drawn.astype(np.uint64))
-        for r in runs(bits[members] & mask):
-            out += bounded(bits, members[r], depth + 1)
-    return out
+def near_others(bits: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which members of a bucket are within FAR bits of one with another label.
+
+    It is enough to compare the members outside the most frequent label with all; or, where these
+    are many, each member that none of those before has found.
+    """
+    which, counts = np.unique(label, return_inverse=True, return_counts=True)[1:]
+    outside = np.flatnonzero(which != np.argmax(counts))
+    each = 2 * len(outside) > len(bits)
+    found = np.zeros(len(bits), bool)
+    for p in range(len(bits)) if each else outside.tolist():
+        if not (each and found[p]):
+            near = (np.bitwise_count(bits ^ bits[p]) <= FAR) & (which != which[p])
+            found |= near
+            found[p] |= near.any()
+    return found
 
 
 _LABELLED = np.dtype([*_ENTRY.descr, ("label", "<u4")])
-_FOUND = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("g", pa.int64()), ("c", pa.int64())])
+_FOUND = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("g", pa.int64()), ("h", pa.binary()), ("c", pa.int64())])
 
 
 def candidates(nodes: DataFrame, n: int, lanes: range, other: str) -> DataFrame:
-    """What may be alike of n distinct (key, print, label) nodes, but for nodes of one label: rows (u, other, g, c).
+    """What may be alike of n distinct (key, print, label) nodes, but for nodes of one label: rows (u, other, g, h, c).
 
-    A bucket of two gives a pair of u and the other one. A larger one is named by g and gives its members with their labels c, but
+    A bucket of two gives a pair of u and the other one. A larger one is named by g, and by its least member h, and gives its members with their labels c, but
     those far from all of other labels; for `other` "hub" each with the member that is nearest to
     the majority of their bits (a text that many are copies of, if it is there), else alone. So a
     bucket gives rows in proportion to its members.
@@ -350,29 +357,29 @@ def candidates(nodes: DataFrame, n: int, lanes: range, other: str) -> DataFrame:
         entries = np.frombuffer(b"".join(table.column("nodes").to_pylist()), _LABELLED)
         bits, keys, label = entries["bits"].copy(), entries["key"].copy(), entries["label"].copy()
         name = lambda i: keys[i].tobytes()
-        out: tuple[list, list, list, list] = ([], [], [], [])
+        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
         for r in runs(bits & table_masks[t % len(table_masks)]):
             if (label[r] == label[r[0]]).all():
                 continue
             if len(r) == 2:
                 if np.bitwise_count(bits[r[0]] ^ bits[r[1]]) <= FAR:
-                    for x, y in zip(out, (*sorted(map(name, r)), None, None)):
+                    for x, y in zip(out, (*sorted(map(name, r)), None, None, None)):
                         x.append(y)
                 continue
-            for g in bounded(bits, r):
-                g = g[[bool((np.bitwise_count(bits[g[label[g] != label[i]]] ^ bits[i]) <= FAR).any()) for i in g]]
-                if len(g):
-                    g = g[np.argsort(keys[g].view(">u8"))]
-                    hub = g[middle(bits[g])]
-                    near = np.bitwise_count(bits[g] ^ bits[hub]) <= FAR
-                    out[0].extend(map(name, g))
-                    out[1].extend(name(hub) if other == "hub" and k and i != hub else None for i, k in zip(g, near))
-                    out[2].extend([xxhash.xxh64_intdigest(keys[g].tobytes()) - (1 << 63)] * len(g))
-                    out[3].extend(label[g].tolist())
-        return pa.Table.from_batches([batch(_FOUND, *out)]).rename_columns(["u", other, "g", "c"])
+            g = r[near_others(bits[r], label[r])]
+            if len(g):
+                g = g[np.argsort(keys[g].view(">u8"))]
+                hub = g[middle(bits[g])]
+                near = np.bitwise_count(bits[g] ^ bits[hub]) <= FAR
+                out[0].extend(map(name, g))
+                out[1].extend(name(hub) if other == "hub" and k and i != hub else None for i, k in zip(g, near))
+                out[2].extend([xxhash.xxh64_intdigest(keys[g].tobytes()) - (1 << 63)] * len(g))
+                out[3].extend([name(g[0])] * len(g))
+                out[4].extend(label[g].tolist())
+        return pa.Table.from_batches([batch(_FOUND, *out)]).rename_columns(["u", other, "g", "h", "c"])
 
     dealt = nodes.select("key", "print", "label").mapInArrow(deal, "part int, tab int, nodes binary")
-    return dealt.groupBy("part", "tab").applyInArrow(find, f"u binary, {other} binary, g long, c long")
+    return dealt.groupBy("part", "tab").applyInArrow(find, f"u binary, {other} binary, g long, h binary, c long")
 
 
 def middle(bits: np.ndarray) -> int:
@@ -429,6 +436,30 @@ def alike_links(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, in
     return links
 
 
+def gathered(members: DataFrame) -> DataFrame:
+    """The members (g, h, u, c) of buckets as rows (g, u, c) of groups in which all meet that meet in a bucket.
+
+    Buckets that share members are one group, so that a member comes once and not for each of its
+    buckets. Where that makes more than TOGETHER members, the buckets stay apart; and members of a
+    bucket of more than that are dealt to blocks, of which any two meet in a group.
+    """
+    # a member's buckets, 216 at most, are linked through the least of their h, so that few links are left
+    named = members.select("u", "h").distinct().withColumn("v", F.min("h").over(Window.partitionBy("u")))
+    merged = components(named.select("u", "v").union(named.select("h", "v")))
+    each = members.select("u", "c").distinct().join(merged, F.col("u") == F.col("node"), "left")
+    each = stored(each.select(F.xxhash64(F.coalesce("root", "u")).alias("g"), "u", "c"), "members")
+    large = each.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("g")
+    apart = members.select("g", "u", "c").join(each.join(large, "g", "left_semi").select("u"), "u", "left_semi")
+    groups = each.join(large, "g", "left_anti").select("g", "u", "c").union(apart.select("g", "u", "c").distinct())
+    sizes = groups.groupBy("g").agg(F.count("*").alias("n"))
+    blocks = F.when(F.col("n") > TOGETHER, F.ceil(2 * F.col("n") / TOGETHER)).otherwise(1)
+    dealt = groups.join(sizes, "g").withColumn("k", blocks).withColumn("a", F.pmod(F.xxhash64("u"), F.col("k")))
+    dealt = dealt.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    # of one block alone there is no group, unless there is no other block
+    dealt = dealt.where("k = 1 or a <> b")
+    return dealt.select(F.when(F.col("k") == 1, F.col("g")).otherwise(F.xxhash64("g", F.least("a", "b"), F.greatest("a", "b"))).alias("g"), "u", "c")
+
+
 def close_members(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """The members (g, u, c) of buckets whose prints are within LIMIT bits of some member's of another component."""
     schema = pa.schema([("g", pa.int64()), ("u", pa.binary()), ("c", pa.int64())])
@@ -482,10 +513,10 @@ def alike_components(known: DataFrame) -> DataFrame:
     named = nodes.join(roots, nodes["key"] == roots["node"], "left").select("key", "print", label(F.coalesce("root", "key")).alias("label"))
     second, more = searched(named, range(FIRST, LANES), "v")
     # buckets of the second pass have members of several components, of the first one some
-    first = stored(first.join(roots, first["u"] == roots["node"], "left").select("g", "u", label(F.coalesce("root", "u")).alias("c")), "buckets")
+    first = stored(first.join(roots, first["u"] == roots["node"], "left").select("g", "h", "u", label(F.coalesce("root", "u")).alias("c")), "buckets")
     mixed = first.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("g")
-    members = first.join(mixed, "g", "left_semi").union(second.select("g", "u", "c")).distinct()
-    mixed = stored(close_members(members, nodes), "mixed")
+    members = first.join(mixed, "g", "left_semi").select("g", "h", "u", "c").union(second.select("g", "h", "u", "c"))
+    mixed = stored(close_members(gathered(members), nodes), "mixed")
     last = stored(bucket_links(mixed, used_sets(sets, mixed.select("u", F.lit(None).cast("binary").alias("v")))), "links")
     return components(roots.toDF("u", "v").union(more).union(last))
 

@@ -201,3 +201,51 @@ def test_distinct_drops_rows_and_not_ids(docs_of):
     assert len(least_c) == 1
     want = [(1, text["a"]), (None, text["b"]), (2, text["d"]), (2, text["e"]), (5, text["f"]), (6, text["g"]), (7, None)]
     assert sorted(map(repr, got)) == sorted(map(repr, want + least_c))
+
+
+def test_near_others_is_all_pairs():
+    rng = random.Random(14)
+    for kinds in (1, 2, 5, 300):
+        centres = [rng.getrandbits(64) for _ in range(6)]
+        bits = [rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 16))) for _ in range(300)]
+        label = [rng.randrange(kinds) if kinds < 300 and rng.random() < 0.2 else (0 if kinds < 300 else i) for i in range(300)]
+        want = [any(y != x and (a ^ b).bit_count() <= simhash.FAR for b, y in zip(bits, label)) for a, x in zip(bits, label)]
+        assert simhash.near_others(np.array(bits, np.uint64), np.array(label, np.uint32)).tolist() == want
+
+
+def test_members_of_a_very_large_bucket_stay_together(spark):
+    rng, n = np.random.default_rng(15), 4500
+    drawn = rng.permutation(64 * simhash.WORDS)  # any print, then other bits of lane 0 that no table masks
+    bits = np.tile(drawn % 2, (n, 1)).astype(np.uint8)
+    free = np.random.default_rng([simhash.SEED, 0]).choice(64 * simhash.WORDS, 64, replace=False)[simhash.COVERED :]
+    bits[:, free] = rng.integers(0, 2, (n, len(free)))
+    rows = [(i.to_bytes(8, "big"), np.packbits(b).tobytes(), i) for i, b in enumerate(bits)]
+    nodes = spark.createDataFrame(rows, "key binary, print binary, label long")
+    lane = next(simhash.lane_bits([r[1] for r in rows], range(1)))
+    want = {rows[i][0] for i in range(n) if np.count_nonzero(np.bitwise_count(lane ^ lane[i]) <= simhash.FAR) > 1}
+    found = simhash.candidates(nodes, n, range(1), "hub").where("g is not null").select("g", "u", "h").distinct().collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.g, set()).add(bytes(r.u))
+    assert len(want) > 4096 and list(groups.values()) == [want]
+    assert {bytes(r.h) for r in found} == {min(want)}
+
+
+def test_what_meets_in_a_bucket_meets_in_a_group(spark, monkeypatch):
+    rng = random.Random(16)
+    key = lambda i: i.to_bytes(8, "big")
+    buckets = [rng.sample(range(100 * k, 100 * k + 40), rng.randrange(2, 12)) for k in range(6) for _ in range(20)]
+    buckets.append(list(range(700, 760)))
+    buckets += [rng.sample(range(100), 5) for _ in range(3)]
+    rows = [(g, key(min(b)), key(u), u % 7) for g, b in enumerate(buckets) for u in b]
+    members = spark.createDataFrame(rows, "g long, h binary, u binary, c long")
+    for most in (8192, 50, 25, 8):
+        monkeypatch.setattr(simhash, "TOGETHER", most)
+        groups = {}
+        for r in simhash.gathered(members).collect():
+            assert r.c == int.from_bytes(r.u) % 7
+            groups.setdefault(r.g, []).append(int.from_bytes(r.u))
+        met = {p for g in groups.values() for p in itertools.combinations(sorted(g), 2)}
+        assert {p for b in buckets for p in itertools.combinations(sorted(b), 2)} <= met
+        assert all(len(g) == len(set(g)) <= 1.8 * most for g in groups.values())
+    assert len(buckets) < 130 and len(groups) > 60
