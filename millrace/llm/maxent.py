@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +48,12 @@ ROWS, FAN = 1024, 64
 ROUNDS = 3
 SLICE = 16_000
 RATE = 0.6
+#: Logits that a step computes at a time, and occurrences up to which rows are added up together.
+CACHED, FEW = 1 << 16, 12
 PART = 32 << 20  # bytes of text for each deal
 _WORD = np.dtype([("a", "<u8"), ("b", "<u4"), ("ending", "u1"), ("n", "<u4")])
-_KEY = np.dtype([("a", "<u8"), ("b", "<u4")])
-_MARKS = b".,;:!?\"'()[]*%&$#|-"
+_DIGEST = np.dtype([("a", "<u8"), ("b", "<u4"), ("rest", "<u4")])
+_IS_MARK = np.isin(np.arange(256), list(b".,;:!?\"'()[]*%&$#|-"))
 
 
 def held_out(name: int | None) -> bool:
@@ -66,19 +69,28 @@ class Words:
         bundle = Bundle(row)
         self.ids, self.nulls = bundle.ids, bundle.nulls
         self.held = np.array([held_out(None if null else i) for i, null in zip(self.ids.tolist(), self.nulls.tolist())], bool)
-        index: dict[bytes, int] = {b"": 0}
-        put = index.setdefault
-        each = []
-        for t in bundle.texts:
-            ws = t.lower().split()
-            each.append(np.fromiter((put(w, len(index)) for w in ws), np.uint32, len(ws)))
-        self.lengths = np.array([len(x) + 1 for x in each], np.int64)
-        end = np.zeros(1, np.uint32)
-        self.tokens = np.concatenate([y for x in each for y in (x, end)])
-        digest = xxhash.xxh3_128_digest
-        raw = np.frombuffer(b"".join([digest(w)[:12] for w in index]), _KEY)
-        self.a, self.b = raw["a"], raw["b"]
-        self.ending = np.array([int.from_bytes(w.rstrip(_MARKS)[-2:]) * 40503 % 65521 % (CLASSES - ALONE) for w in index], np.uint8)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(bundle.texts, pa.large_binary()).view(pa.large_string())))
+        # white space at a text's ends gives empty words, which get the end token's index and go
+        index = pa.chunked_array([pa.array([""], pa.large_string()), split.flatten()]).dictionary_encode().chunk(1)
+        words = index.indices.to_numpy().view(np.uint32)
+        kept = np.concatenate([np.zeros(1, np.int64), np.cumsum(words > 0)])[split.offsets.to_numpy()]
+        self.lengths = np.diff(kept) + 1
+        self.tokens = np.insert(words[words > 0], kept[1:], 0)
+        cuts, raw = np.frombuffer(index.dictionary.buffers()[1], np.int64, len(index.dictionary) + 1), index.dictionary.buffers()[2].to_pybytes()
+        digest, ends = xxhash.xxh3_128_digest, cuts.tolist()
+        digests = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(ends, ends[1:])]), _DIGEST)
+        self.a, self.b = digests["a"].copy(), digests["b"].copy()
+        self.ending = ending_of(np.frombuffer(raw + b"\0", np.uint8), cuts)
+
+
+def ending_of(raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """For each word between two cuts, the hash of its last two bytes before closing marks."""
+    start, end = cuts[:-1], cuts[1:].copy()
+    some = np.arange(len(end))
+    while len(some := some[(end[some] > start[some]) & _IS_MARK[raw[end[some] - 1]]]):
+        end[some] -= 1
+    last, before = (np.where(end - start >= k, raw[np.maximum(end - k, 0)], 0).astype(np.int64) for k in (1, 2))
+    return ((before << 8 | last) * 40503 % 65521 % (CLASSES - ALONE)).astype(np.uint8)
 
 
 def _compressed(x: np.ndarray) -> bytes:
@@ -241,46 +253,59 @@ def inner_features(features: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(HASHED_IN)).astype(np.int64) + HASHED_IN * np.arange(KINDS)
 
 
-def exponentials(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits of each token's classes, their exponentials, and the sums of these."""
-    logits = weights[features[:, 0]]
-    for k in range(1, features.shape[1]):
-        logits += weights[features[:, k]]
-    logits += bias
-    np.minimum(logits, 60, out=logits)
-    e = np.exp(logits)
-    return logits, e, e @ np.ones(e.shape[1], np.float32)
+def exponentials(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The logit of each token's class, the exponentials of all its logits, and their sums; in blocks that fit the cache."""
+    e = np.empty((len(features), weights.shape[1]), weights.dtype)
+    own = np.empty(len(features), weights.dtype)
+    step = max(1, CACHED // weights.shape[1])
+    more = np.empty((min(step, len(e)), e.shape[1]), e.dtype)
+    for a in range(0, len(e), step):
+        s = slice(a, a + step)
+        logits = e[s]
+        weights.take(features[s, 0], axis=0, out=logits, mode="clip")  # other modes copy
+        for k in range(1, features.shape[1]):
+            logits += weights.take(features[s, k], axis=0, out=more[: len(logits)], mode="clip")
+        logits += bias[s] if bias.ndim > 1 else bias
+        np.minimum(logits, 60, out=logits)
+        own[s] = logits[np.arange(len(logits)), classes[s]]
+        np.exp(logits, out=logits)
+    return own, e, e @ np.ones(e.shape[1], np.float32)
 
 
 def log_share(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Log of the probability of each token's class."""
-    logits, _, total = exponentials(weights, bias, features)
-    return logits[np.arange(len(classes)), classes] - np.log(total)
-
-
-def turned(x: np.ndarray, step: int = 128) -> np.ndarray:
-    """The transpose, copied in blocks that fit the cache."""
-    out = np.empty(x.shape[::-1], x.dtype)
-    for a in range(0, len(x), step):
-        out[:, a : a + step] = x[a : a + step].T
-    return out
+    own, _, total = exponentials(weights, bias, features, classes)
+    return own - np.log(total)
+
+
+def sums_by(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows, how often each occurs, and the sum of the values that belong to it."""
+    order = np.argsort(rows.astype(np.uint16) if KINDS * max(HASHED, HASHED_IN) <= 1 << 16 else rows, kind="stable")  # 16 bits are sorted by digits
+    ordered, values = rows[order], values.take(order, axis=0)
+    start = np.flatnonzero(np.diff(ordered, prepend=-1))
+    n = np.diff(np.append(start, len(ordered)))
+    sums = values.take(start, axis=0)
+    # rows that occur a few times are added up all at once, one occurrence after another; others one by one
+    left = np.flatnonzero((n > 1) & (n <= FEW))
+    for j in range(1, FEW):
+        sums[left] += values.take(start[left] + j, axis=0)
+        left = left[n[left] > j + 1]
+    ones = np.ones(n.max(initial=0), values.dtype)
+    for k in np.flatnonzero(n > FEW).tolist():
+        np.dot(ones[: n[k]], values[start[k] : start[k] + n[k]], out=sums[k])
+    return ordered[start], n, sums
 
 
 def descend(weights: np.ndarray, seen: np.ndarray, bias: np.ndarray, features: np.ndarray, classes: np.ndarray) -> None:
     """One gradient update from a slice of tokens, in place. A row's step shrinks with the tokens it has seen."""
-    _, slope, total = exponentials(weights, bias, features)
+    _, slope, total = exponentials(weights, bias, features, classes)
     slope /= -total[:, None]
     slope[np.arange(len(classes)), classes] += 1
-    slope = turned(slope)  # sums along a row of this are fast
     for k in range(features.shape[1]):
-        order = np.argsort(features[:, k])
-        ordered = features[order, k]
-        start = np.flatnonzero(np.diff(ordered, prepend=-1))
-        n = np.diff(np.append(start, len(ordered)))
-        row = ordered[start]
+        row, n, sums = sums_by(features[:, k], slope)
         seen[row] += n
         step = RATE / (n + 8.0) / np.sqrt(1 + seen[row] / 4096.0)
-        weights[row] += (np.add.reduceat(np.take(slope, order, axis=1), start, axis=1) * step.astype(np.float32)).T
+        weights[row] += sums * step.astype(np.float32)[:, None]
 
 
 class Weights:

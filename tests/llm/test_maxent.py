@@ -2,6 +2,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -144,3 +145,55 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     check([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()], got)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def bundle_of(texts):
+    import zstandard
+
+    sizes = np.array([len(t) for t in texts], "<i8")
+    return {"ids": np.arange(len(texts), dtype="<i8").tobytes(), "nulls": bytes(len(texts)), "lengths": sizes.tobytes(), "bytes": int(sizes.sum()), "body": zstandard.ZstdCompressor().compress(b"".join(texts))}
+
+
+def plain_words(texts):
+    """Indices of all tokens, lengths, and digests and ending hashes of the distinct words, from one loop."""
+    import xxhash
+
+    index = {b"": 0}
+    each = [[index.setdefault(w, len(index)) for w in t.lower().split()] + [0] for t in texts]
+    digests = [xxhash.xxh3_128_digest(w) for w in index]
+    endings = [int.from_bytes(w.rstrip(b".,;:!?\"'()[]*%&$#|-")[-2:], "big") * 40503 % 65521 % 40 for w in index]
+    return [x for xs in each for x in xs], [len(xs) for xs in each], [int.from_bytes(d[:8], "little") for d in digests], [int.from_bytes(d[8:12], "little") for d in digests], endings
+
+
+def test_words_are_those_of_a_plain_split():
+    rng = random.Random(3)
+    cases = [[b""], [b" "], [b"", b"", b" \t"], [bytes(range(256)), b"A.\x1c b,, ... x"], ["É \x85é\xa0ß".encode(), b"", b"a... "]]
+    cases += [[bytes(rng.choices(b"aAbB.,-\x00\x1c\x85 \t\n\x0b\x0c\r\xc3\xa9", k=rng.randrange(30))) for _ in range(rng.randrange(1, 8))] for _ in range(200)]
+    for texts in cases:
+        w = maxent.Words(bundle_of(texts))
+        assert (w.tokens.tolist(), w.lengths.tolist(), w.a.tolist(), w.b.tolist(), w.ending.tolist()) == plain_words(texts), texts
+
+
+def test_words_take_less_time_than_a_plain_split():
+    rng = random.Random(4)
+    known = ["".join(rng.choices(["th", "in", "on", "er", "ea", "st"], k=rng.randrange(1, 6))) + rng.choice(["", ".", ","]) for _ in range(100_000)]
+    texts = [" ".join(rng.choices(known, k=400)).encode() for _ in range(1500)]
+    row = bundle_of(texts)
+
+    def seconds(f, x):
+        began = time.process_time()
+        f(x)
+        return time.process_time() - began
+
+    assert min(seconds(maxent.Words, row) for _ in range(3)) < 0.7 * min(seconds(plain_words, texts) for _ in range(3))
+
+
+def test_sums_by_row():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5000):
+        rows, values = (rng.zipf(1.4, n) % 300).astype(np.int64), rng.normal(size=(n, 7)).astype(np.float32)
+        row, times, sums = maxent.sums_by(rows, values)
+        want = np.zeros((300, 7))
+        np.add.at(want, rows, values)
+        assert row.tolist() == np.unique(rows).tolist() and times.tolist() == np.bincount(rows, minlength=300)[row].tolist()
+        assert np.allclose(sums, want[row], atol=1e-3)
