@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -29,7 +30,12 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_TOKENS = 1 << 20
 CACHE_WORDS = 500_000
-CLOSING = re.compile(rb"(?<=[a-z])([.,!?%*&$#:;]+)(?=\s)")
+#: Marks between a letter and white space, as Arrow's expressions have it.
+CLOSING = r"([a-z])([.,!?%*&$#:;]+)([\t-\r ])"
+#: Words that are one piece to the tokenizer and that it doesn't change: small letters of ASCII and Latin-1.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: How the tokenizer's byte level writes the bytes of such words.
+WRITTEN = {b: 0x100 + 33 + b - 0x7F for b in range(0x7F, 0xA1)} | {0xAD: 0x143}
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 
@@ -39,7 +45,8 @@ class WordEncoder:
 
     The tokenizer's own splitting never joins characters across ASCII white space, and parts a
     letter from punctuation that follows it, so a text's ids are those of its words and closing
-    punctuation one after another. New words are encoded together, parted by a special token.
+    punctuation one after another. New words of small letters, which its normalizer and splitting
+    leave alone, go to its model directly; others are encoded together, parted by a special token.
     Special tokens that stand in a text are taken as the library takes them; with `literal`, as
     the characters they are.
     """
@@ -54,9 +61,19 @@ class WordEncoder:
         self.plain.encode_special_tokens = literal
         self.break_id = self.breaking.token_to_id(self.BREAK)
         self.known: dict[bytes, bytes] = {}
+        #: words known before `known` was begun anew
+        self.older: dict[bytes, bytes] = {}
         self.most = most
+        self.model = self.breaking.model
 
     def learn(self, words: list[bytes]) -> None:
+        tokenize, plain, others = self.model.tokenize, PLAIN.fullmatch, []
+        for w in words:
+            if plain(w):
+                self.known[w] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(w.decode("latin-1").translate(WRITTEN))])
+            else:
+                others.append(w)
+        words = others
         odd = [w for w in words if b"<|" in w]
         words = [w for w in words if b"<|" not in w] if odd else words
         for w in odd:
@@ -71,17 +88,39 @@ class WordEncoder:
                 self.known[w] = raw[start:end]
                 start = end + 4
 
+    def recall(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words. Half of what the cache holds, the words last met, stays when it is full."""
+        found = list(map(self.known.get, words))
+        new = [w for w, x in zip(words, found) if x is None]
+        if not new:
+            return found
+        if 2 * (len(self.known) + len(new)) > self.most:
+            self.known, self.older = {}, self.known if len(self.known) <= self.most else {}
+            new = words
+        old = list(map(self.older.get, new))
+        self.known.update((w, x) for w, x in zip(new, old) if x is not None)
+        self.learn([w for w, x in zip(new, old) if x is None])
+        return list(map(self.known.__getitem__, words))
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without an end id."""
         # lower case only spares the cache words, and would make special tokens of other letters
-        words = [CLOSING.sub(rb" \1", t if b"<|" in t else t.lower()).split() for t in texts]
-        new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = set().union(*words)
-        self.learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        lowered = pa.array([t if b"<|" in t else t.lower() for t in texts], pa.large_binary())
+        parted = pc.replace_substring_regex(lowered, CLOSING, r"\1 \2\3")
+        split = pc.ascii_split_whitespace(parted.view(pa.large_string()))
+        index = split.flatten().dictionary_encode()
+        words = bytes_of(index.dictionary)
+        # white space at a text's ends gives empty words, which have no ids
+        ids = pa.array(self.recall(words), pa.large_binary()).take(index.indices)
+        cuts = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[split.offsets.to_numpy()].tolist()
+        raw = ids.buffers()[2].to_pybytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def bytes_of(column: pa.Array) -> list[bytes]:
+    """The values of an array of large strings or binaries that starts at its buffers' start and has no nulls."""
+    cuts, raw = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1).tolist(), column.buffers()[2].to_pybytes()
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
