@@ -91,6 +91,16 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def bytes_of(column: pa.Array, cuts: np.ndarray | None = None) -> list[bytes]:
+    """The values of an array of large strings or binaries, whole and without nulls; with cuts, joined between these."""
+    if not len(column):
+        return [] if cuts is None else [b""] * (len(cuts) - 1)
+    _, ends, raw = column.buffers()
+    ends = np.frombuffer(ends, np.int64, len(column) + 1)
+    ends, raw = (ends if cuts is None else ends[cuts]).tolist(), raw.to_pybytes() if raw else b""
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import batch, held, pick, text_slices, utf8
+from .common import batch, bytes_of, held, pick, text_slices, utf8
 
 CAPACITY = 4096
 END_ID = 2
@@ -112,15 +112,7 @@ class WordEncoder:
         words = bytes_of(index.dictionary)
         # white space at a text's ends gives empty words, which have no ids
         ids = pa.array(self.recall(words), pa.large_binary()).take(index.indices)
-        cuts = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[split.offsets.to_numpy()].tolist()
-        raw = ids.buffers()[2].to_pybytes()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-
-
-def bytes_of(column: pa.Array) -> list[bytes]:
-    """The values of an array of large strings or binaries that starts at its buffers' start and has no nulls."""
-    cuts, raw = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1).tolist(), column.buffers()[2].to_pybytes()
-    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return bytes_of(ids, split.offsets.to_numpy())
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import time
 
 import numpy as np
@@ -71,3 +72,50 @@ def test_a_million_letters_without_a_space(library):
     # the library's time grows with the square of a word's length; a part ends alike, as its last cut shows
     part = np.frombuffer(bpe.Bpe(PATH, P.PATTERN).contract_long([text[:20_000].encode()])[0].astype("<u4").tobytes(), "<u4").tolist()
     assert part == library.encode_ordinary(text[:20_000]) and np.frombuffer(ids, "<u4")[: len(part) - 20].tolist() == part[:-20]
+
+
+def test_all_kinds_of_space_and_closing_marks_match_the_library(library):
+    rng = random.Random(11)
+    letters = "abcE ,.!'s1²_ 日本éßÿ×÷ªΩжअ́ɐ" + " \n" * 4
+    spaces = "\t\r\x0b\x0c\x1c\x1f\x85\xa0  ​   　﻿\0\x7f"
+    texts = ["", " ", "\n", "a", "a.", "a. ", " a", "a.\nb", "a\n\nb", "é.,!", "_. b", "².", "Ω. x", "日. x", "a\0 b"]
+    texts += ["".join(rng.choice(letters if rng.random() < 0.97 else spaces) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    texts += [f"ab.{c}cd{c}" for c in spaces]
+    for t, (ids, decoded) in zip(texts, bpe.Bpe(PATH, P.PATTERN).encode_decode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t) and decoded == t.encode(), repr(t)
+
+
+def test_full_caches_keep_the_pieces_last_met():
+    encoder, learned = bpe.Bpe(PATH, P.PATTERN, most=100), []
+    words = encoder.encode_words
+    encoder.encode_words = lambda some: (learned.extend(some), words(some))[1]
+    for k in range(50):
+        assert [d for _, d in encoder.encode_decode([f"some frequent words and rare{k}a rare{k}b"])] == [b"some frequent words and rare%da rare%db" % (k, k)]
+        assert len(encoder.ids) + len(encoder.older[0]) <= 100
+    assert learned.count(b" frequent") == learned.count(b" words") == 1
+
+
+def test_known_pieces_take_less_time_than_a_plain_split():
+    rng = random.Random(4)
+    known = ["".join(rng.choices(["th", "in", "on", "er", "ea", "st"], k=rng.randrange(1, 6))) for _ in range(5_000)]
+    texts = [" ".join(w + "." * (k % 9 == 8) for k, w in enumerate(rng.choices(known, k=400))) for _ in range(1500)]
+    encoder = bpe.Bpe(PATH, P.PATTERN)
+    once = list(encoder.encode_decode(texts))
+    marks = re.compile(r"(?<=[^\W_])([.,!?%*&$#:;]+)(?=[ \n]|\Z)")
+
+    def plain(texts):
+        of = {k if isinstance(k, str) else k.decode(): (k, x) for k, x in encoder.ids.items()}
+        ids, decoded = {s: x for s, (_, x) in of.items()}, {s: encoder.texts[k] for s, (k, _) in of.items()}
+        began = time.process_time()
+        each = [("\0" + marks.sub(" \0\\1", t)).replace("\n", " \0\n \0").split(" ") for t in texts if len(t.split()) == t.count("\n") + t.count(" ") + 1]
+        assert not set().union(*each).difference(ids)
+        got = [(b"".join(map(ids.__getitem__, ks)), b"".join(map(decoded.__getitem__, ks))) for ks in each]
+        return time.process_time() - began, got
+
+    def own(texts):
+        began = time.process_time()
+        got = list(encoder.encode_decode(texts))
+        return time.process_time() - began, got
+
+    assert own(texts)[1] == plain(texts)[1] == once
+    assert min(own(texts)[0] for _ in range(3)) < 0.8 * min(plain(texts)[0] for _ in range(3))
