@@ -23,6 +23,8 @@ from ..operators import arrival
 from . import syntax as S
 
 MARK = "\x1f"
+#: A join of columns that are unique on neither side gives so many rows a piece at least, in PIECES pieces a partition at most.
+JOIN_ROWS, PIECES = 1 << 22, 4
 
 
 @dataclass(frozen=True)
@@ -148,7 +150,7 @@ class Lowering:
                     frames[a] = frames[a].where(condition)
         waiting = [w for w in waiting if len(w[0]) > 1]
         first, *others = frames
-        out, done = frames[first], {first}
+        out, done, unique = frames[first], {first}, self.keys(scope, first)
         while others:
             def links(a: str) -> list:
                 return [w for w in waiting if a in w[0] and w[0] <= done | {a}]
@@ -159,9 +161,16 @@ class Lowering:
             if now:
                 ways = [] if any(w[2] for w in now) else next((w[3].parts for w in now if self.any_equal(scope, w[3], best)), [])
                 rest = [w[1] for w in now if not ways or w[3].parts is not ways]
-                out = self.joined_by(out, frames[best], [self.condition(p, find) for p in ways], rest)
+                left, right = out, frames[best]
+                equal = [pair for w in now if w[2] and (pair := self.sides(scope, w[3], best))]
+                once = [any(k <= {p[side] for p in equal} for k in keys) for side, keys in enumerate((unique, self.keys(scope, best)))]
+                unique = [*(unique if once[1] else ()), *(self.keys(scope, best) if once[0] else ())]
+                if equal and not any(once):
+                    left, right, more = self.pieces(scope, left, right, done, best, equal)
+                    rest += more
+                out = self.joined_by(left, right, [self.condition(p, find) for p in ways], rest)
             else:
-                out = out.crossJoin(frames[best])
+                out, unique = out.crossJoin(frames[best]), []
             waiting = [w for w in waiting if not any(w is x for x in now)]
             others.remove(best)
             done.add(best)
@@ -200,6 +209,54 @@ class Lowering:
             before = way if before is None else before | way
         return out
 
+    def sides(self, scope: Scope, c: S.Compare, alias: str) -> tuple[Found, Found] | None:
+        """The columns that an equality compares, this table's last; None if it isn't one between plain columns of one type."""
+        if not (isinstance(c.left, S.Column) and isinstance(c.right, S.Column)):
+            return None
+        a, b = sorted((scope.find(c.left.name), scope.find(c.right.name)), key=lambda f: f.alias == alias)
+        return (a, b) if b.alias == alias != a.alias and a.kind == b.kind else None
+
+    def keys(self, scope: Scope, alias: str) -> list[set[Found]]:
+        """Columns of which a table has each value once, as the catalog says. Only the work depends on it, no result."""
+        e = scope.entities[alias]
+        names = [*([(e.id,)] if e.id else []), *(i.columns for i in e.indexes if i.unique)]
+        return [{Found(alias, c, e.schema[c].dataType) for c in n} for n in names]
+
+    def pieces(self, scope: Scope, left: DataFrame, right: DataFrame, done: set[str], best: str, equal: list[tuple[Found, Found]]) -> tuple[DataFrame, DataFrame, list[Column]]:
+        """Both sides of a join, and more conditions for it, so that no task makes all rows of a frequent key.
+
+        Spark deals a join by the sizes of what it reads, not of what it makes, so a few keys with many
+        rows on both sides are made by as few tasks. Here the rows of such a key are cut into pieces on
+        both sides, by a hash of the row, and each piece meets each of the other side's.
+        """
+        counts = lambda df, k, name: df.groupBy(*[e[k].column.alias(f"_k{i}") for i, e in enumerate(equal)]).agg(F.count(F.lit(1)).cast("double").alias(name))
+        keys = [f"_k{i}" for i in range(len(equal))]
+        made = counts(left, 0, "_a").join(counts(right, 1, "_b"), keys).withColumn("_n", F.col("_a") * F.col("_b"))
+        n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        total = made.agg(F.coalesce(F.sum("_n"), F.lit(0.0))).first()[0]
+        if total <= JOIN_ROWS:
+            return left, right, []
+        each = max(JOIN_ROWS, total / (n * PIECES * PIECES))
+        # the sides are cut so that they are copied least
+        cut = F.least(F.col("_a"), F.greatest(F.lit(1.0), F.round(F.sqrt(F.col("_n") / each * F.col("_a") / F.col("_b")))))
+        across = F.least(F.col("_b"), F.greatest(F.lit(1.0), F.ceil(F.col("_n") / each / F.col("_left")).cast("double")))
+        few = made.where(F.col("_n") > each).withColumn("_left", cut).withColumn("_right", across)
+        few = few.select(*keys, F.col("_left").cast("int").alias("_left"), F.col("_right").cast("int").alias("_right"))
+
+        def dealt(df: DataFrame, k: int, aliases: set[str]) -> DataFrame:
+            own, others = (f"{best}{MARK}{MARK}{k}{i}" for i in (k, 1 - k))
+            entities = {a: scope.entities[a] for a in sorted(aliases)}
+            names = [f"{a}{MARK}{e.id}" for a, e in entities.items()] if all(e.id for e in entities.values()) else df.columns
+            mine, copies = (("_left", "_right"), ("_right", "_left"))[k]
+            on = functools.reduce(Column.__and__, [e[k].column == F.col(key) for e, key in zip(equal, keys)])
+            df = df.join(F.broadcast(few), on, "left")
+            df = df.withColumn(own, F.coalesce(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.col(mine)).cast("int"), F.lit(0)))
+            df = df.withColumn(others, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(copies), F.lit(1)) - 1))).drop(*keys, "_left", "_right")
+            return df.repartition(n * PIECES, *[e[k].column for e in equal], *[F.col(f"`{c}`") for c in ((own, others) if k == 0 else (others, own))])
+
+        pairs = [F.col(f"`{best}{MARK}{MARK}0{i}`") == F.col(f"`{best}{MARK}{MARK}1{i}`") for i in (0, 1)]
+        return dealt(left, 0, done).hint("merge"), dealt(right, 1, {best}), pairs
+
     def operand(self, scope: Scope, e) -> tuple[Column, DataType]:
         if isinstance(e, S.Column):
             found = scope.find(e.name)

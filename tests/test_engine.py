@@ -534,3 +534,27 @@ def test_an_or_of_equalities_joins_by_keys(make):
     assert values(df) == sorted([(1, "p"), (1, "q"), (2, "r"), (2, "s"), (3, "r"), (3, "s"), (5, "p"), (6, "q")], key=repr)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 2 and "(x" in plan and df._jdf.queryExecution().executedPlan().toString().count("NestedLoop") == 0
+
+
+def test_a_join_on_frequent_keys_is_made_in_pieces(spark, tmp_path, monkeypatch):
+    """Few keys with many rows on both sides don't land in a few tasks; keys of nulls and of one side give nothing."""
+    from millrace.plans import lower
+
+    monkeypatch.setattr(lower, "JOIN_ROWS", 100, raising=False)
+    a = [(i, i % 3 if i % 11 else None, i % 2) for i in range(600)] + [(1000, 7, 1)]
+    b = [(i, i % 3 if i % 13 else None, i % 2) for i in range(90)] + [(1000, 8, 1)]
+    entities = []
+    for name, ddl, key, rows in (("a", "i long, k int, v int", "i", a), ("b", "j long, k int, v int", "j", b), ("c", "k int, w int", None, [(k % 3, k) for k in range(40)])):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / name))
+        entities.append(Entity(name, StructType.fromDDL(ddl), id=key, path=str(tmp_path / name)))
+    s = Session(spark, Catalog(entities))
+    for text, want in (
+        ("SELECT i, j FROM a, b WHERE a.k = b.k", [(x[0], y[0]) for x in a for y in b if x[1] is not None and x[1] == y[1]]),
+        ("SELECT i, j FROM a, b WHERE a.k = b.k AND a.v = b.v AND i > j", [(x[0], y[0]) for x in a for y in b if x[1] is not None and x[1:] == y[1:] and x[0] > y[0]]),
+        ("SELECT j, w FROM b, c WHERE b.k = c.k", [(y[0], k) for y in b for k in range(40) if y[1] == k % 3]),
+        ("SELECT j, w, i FROM b, c, a WHERE b.k = c.k AND j = i", [(y[0], k, y[0]) for y in b for k in range(40) if y[1] == k % 3]),
+    ):
+        got = s.execute(text)
+        most = max(got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+        assert values(got) == sorted(want, key=repr)
+        assert most < len(want) / 4
