@@ -20,23 +20,44 @@ from pyspark.sql.types import MapType
 from ..sources.shared import kept
 
 RANGE, PLACE, COPY = "_range", "_place", "_copy"
+#: Rows of a block, which one task looks at.
+BLOCK = 1 << 16
 
 
-def placed(df: DataFrame, sequence: Sequence[str]) -> DataFrame:
-    """df with its 1-based place in the order of the sequence columns (PLACE) and its range (RANGE)."""
+def dealt(df: DataFrame, sequence: Sequence[str]) -> DataFrame:
+    """df dealt by ranges of the sequence columns (RANGE), to be frozen."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frozen = kept(df.repartitionByRange(n, *[F.col(f"`{c}`") for c in sequence]).withColumn(RANGE, F.spark_partition_id()), "ranges")
+    return df.repartitionByRange(n, *[F.col(f"`{c}`") for c in sequence]).withColumn(RANGE, F.spark_partition_id())
+
+
+def order_of(df: DataFrame, sequence: Sequence[str]) -> list[Column]:
+    """What df's rows are ordered by: the sequence and then the other columns."""
+    return [F.col(f"`{c}`") for c in (*sequence, *(f.name for f in df.schema if f.name not in sequence and not isinstance(f.dataType, MapType)))]
+
+
+def numbered(frozen: DataFrame, sequence: Sequence[str]) -> DataFrame:
+    """Frozen ranges with each row's 1-based place in the order of the sequence columns (PLACE)."""
     sizes = frozen.groupBy(RANGE).agg(F.count(F.lit(1)).alias("_n"))
     # one row for each range
     before = sizes.select(RANGE, F.coalesce(F.sum("_n").over(Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    order = [*sequence, *(f.name for f in df.schema if f.name not in sequence and not isinstance(f.dataType, MapType))]
-    inside = F.row_number().over(Window.partitionBy(RANGE).orderBy(*[F.col(f"`{c}`") for c in order]))
+    inside = F.row_number().over(Window.partitionBy(RANGE).orderBy(*order_of(frozen.drop(RANGE), sequence)))
     return frozen.join(F.broadcast(before), RANGE).withColumn(PLACE, inside + F.col("_before")).drop("_before")
 
 
+def few(df: DataFrame, sequence: Sequence[str]) -> DataFrame:
+    """The same of so few rows that one task takes them all: nothing is dealt."""
+    inside = F.row_number().over(Window.partitionBy(RANGE).orderBy(*order_of(df, sequence)))
+    return df.coalesce(1).withColumn(RANGE, F.lit(0)).withColumn(PLACE, inside.cast("long"))
+
+
+def placed(df: DataFrame, sequence: Sequence[str]) -> DataFrame:
+    """df with its 1-based place in the order of the sequence columns (PLACE) and its range (RANGE)."""
+    return numbered(kept(dealt(df, sequence), "ranges"), sequence)
+
+
 def overlapped(rows: DataFrame, behind: int, size: int | None = None) -> DataFrame:
     """Rows in blocks (RANGE, anew) of equal size, each preceded by copies (COPY) of the `behind` rows before it."""
-    size = max(behind, size or 1 << 16)
+    size = max(behind, size or BLOCK)
     block = F.floor((F.col(PLACE) - 1) / size)
     ahead = F.floor((F.col(PLACE) - 1 + behind) / size)
     blocks = F.when(ahead > block, F.array(block, ahead)).otherwise(F.array(block))
@@ -48,7 +69,12 @@ def row_windows(df: DataFrame, sequence: Sequence[str], n: int, build: Callable[
 
     The first n - 1 rows give none.
     """
-    rows = overlapped(placed(df, sequence), n - 1, size)
+    return windows_of(placed(df, sequence), n, build, size)
+
+
+def windows_of(rows: DataFrame, n: int, build: Callable[[Window], Sequence[Column]], size: int | None = None) -> DataFrame:
+    """The same of placed rows."""
+    rows = overlapped(rows, n - 1, size)
     window = Window.partitionBy(RANGE).orderBy(PLACE).rowsBetween(1 - n, 0)
     columns = list(build(window))
     full = F.count(F.lit(1)).over(window) == n
@@ -60,7 +86,12 @@ RUN = "_run"
 
 def runs(df: DataFrame, sequence: Sequence[str], keys: Sequence[str], size: int | None = None) -> DataFrame:
     """df with the number (RUN, from 1) of each row's run of equal keys. Nulls are equal to each other."""
-    rows = overlapped(placed(df, sequence), 1, size)
+    return runs_of(placed(df, sequence), keys, size)
+
+
+def runs_of(rows: DataFrame, keys: Sequence[str], size: int | None = None) -> DataFrame:
+    """The same of placed rows."""
+    rows = overlapped(rows, 1, size)
     window = Window.partitionBy(RANGE).orderBy(PLACE)
     key = F.struct(*keys)
     new = (F.col(PLACE) == 1) | ~key.eqNullSafe(F.lag(key).over(window))

@@ -12,7 +12,7 @@ import functools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DoubleType, FloatType, LongType, StringType, TimestampNTZType, TimestampType
 
@@ -413,7 +413,11 @@ class Lowering:
     # -- statements over rows in arrival order, in batch form
 
     def windows(self, scope: Scope, s: S.Select, items, rows: DataFrame) -> DataFrame:
-        alias = s.tables[0].alias
+        sequence = scope.sequence(s.tables[0].alias)
+        return arrival.row_windows(self.used(scope, items, rows, sequence), sequence, s.window[1], self.over(scope, items))
+
+    def over(self, scope: Scope, items) -> Callable[[Window], list[Column]]:
+        """The result columns over a window."""
 
         def build(window) -> list[Column]:
             out = []
@@ -429,7 +433,7 @@ class Lowering:
                     out.append((own(found.column).over(window) if own else windowed(e.function, found.column, found.kind, window)).alias(i.name))
             return out
 
-        return arrival.row_windows(self.used(scope, items, rows, scope.sequence(alias)), scope.sequence(alias), s.window[1], build)
+        return build
 
     def used(self, scope: Scope, items, rows: DataFrame, also: Sequence[str]) -> DataFrame:
         """The joined rows' columns that the result needs: what is frozen isn't pruned by itself."""

@@ -9,6 +9,7 @@ rows; nothing else is ever seen. Progress and state are in the checkpoint.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +23,9 @@ from ..plans import syntax as S
 from ..plans.lower import MARK, Scope
 from ..sources.changes import NAME as CHANGES
 from ..sources.changes import Changes
-from ..sources.shared import shared_dir
+from ..sources.shared import removed, shared_dir
 from ..sources.store import Folder
-from .stateful import STATE, RowWindow, Runs, packed
+from .stateful import RowWindow, Runs, Scratch
 
 
 def source(session, entity: Entity, path: str | None = None, files_each: int = 1) -> DataFrame:
@@ -56,10 +57,12 @@ class Stream:
         self.session, self.statement = session, statement
         self.scope = Scope(session.catalog, statement.tables)
         self.query = self.output = self.schema = None
+        #: what makes windows or runs of each micro-batch's rows
+        self.operator: RowWindow | Runs | None = None
         self.name = f"stream_{uuid.uuid4().hex}"
 
     def frame(self, path: str | None = None, files_each: int = 1) -> DataFrame:
-        """The streaming DataFrame of results."""
+        """The streaming DataFrame of results, or of the rows that windows and runs are made of."""
         s, scope = self.statement, self.scope
         alias = s.tables[0].alias
         low = self.session.lowering()
@@ -69,7 +72,9 @@ class Stream:
         if not s.window and not s.group:
             if any(low.is_call(i) for i in items):
                 raise E.InvalidGroupColumnSet("an aggregate of a stream needs GROUP BY or WINDOW BY")
-            return rows.select(*[low.plain(scope, i) for i in items])
+            out = rows.select(*[low.plain(scope, i) for i in items])
+            self.schema = out.schema
+            return out
         outputs, fields = [], []
         for i in items:
             e = i.expression
@@ -85,27 +90,57 @@ class Stream:
             if call and e.function in ("SUM", "AVG"):
                 kind = LongType() if is_integral(found.kind) else DoubleType()
             fields.append(StructField(i.name, kind))
-        sequence = scope.sequence(alias)
-        if s.window:
-            operator = RowWindow(sequence, s.window[1], outputs)
-        else:
-            keys = [f"{k.alias}{MARK}{k.name}" for k in (scope.find(c.name) for c in s.group)]
-            operator = Runs(sequence, keys, outputs)
-        used = dict.fromkeys([*sequence, *([] if s.window else keys), *(o[2] for o in outputs if o[2])])
-        rows = rows.select(*[packed(c) for c in used], F.lit(0).alias("_one"))
-        return rows.groupBy("_one").applyInPandasWithState(operator, StructType(fields), STATE, "append", "NoTimeout")
+        sequence, self.schema = scope.sequence(alias), StructType(fields)
+        keys = [f"{k.alias}{MARK}{k.name}" for k in (scope.find(c.name) for c in s.group)]
+        self.operator = RowWindow(sequence, s.window[1], low.over(scope, items)) if s.window else Runs(sequence, keys, outputs)
+        used = {*keys, *(o[2] for o in outputs if o[2])} - {*sequence}
+        return rows.select(*[F.col(f"`{c}`") for c in (*sequence, *sorted(used))])
+
+    def follow(self, checkpoint: str, give) -> Callable[[DataFrame, int], None]:
+        """What is done with a micro-batch: its results are given and what it leaves is kept beside the checkpoint, by its number.
+
+        A batch that is repeated after a failure finds what the one before it has left, as at first.
+        """
+        spark, kept = self.session.spark, Folder(self.session.spark, f"{checkpoint}/left")
+
+        def each(df: DataFrame, number: int) -> None:
+            before = sorted(n for n in map(int, kept.names()) if n < number)
+            if number and not before:
+                raise E.InvalidSQLStatement("the checkpoint is of another kind of query")
+            left = (lambda session, schema: session.read.schema(schema).parquet(f"{kept.path}/{before[-1]}")) if before else None
+            scratch = Scratch(spark, f"{shared_dir(spark)}/{self.name}/batch-{uuid.uuid4().hex}")
+            results, rest = self.operator(df, left, scratch)
+            rest.write.mode("overwrite").parquet(f"{kept.path}/{number}")
+            give(results.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema]), number)
+            removed(spark, scratch.path)
+            for n in before[:-1]:
+                kept.remove(str(n))
+
+        return each
+
+    def appender(self) -> Callable[[DataFrame, int], None]:
+        """Appends a batch's results to the output as Spark's own sink of files does: each number once, and wholly or not at all."""
+        spark = self.session.spark
+        jvm = spark._jvm
+        sink = jvm.org.apache.spark.sql.execution.streaming.sinks.FileStreamSink(spark._jsparkSession, self.output, jvm.org.apache.spark.sql.execution.datasources.parquet.ParquetFileFormat(), jvm.PythonUtils.toSeq([]), jvm.PythonUtils.toScalaMap({}))
+        return lambda df, number: sink.addBatch(number, df._jdf)
 
     def start(self, path: str | None = None, files_each: int = 1, sink: str = "parquet", output: str | None = None, checkpoint: str | None = None, once: bool = False, each_batch=None):
-        """Starts the query. sink: parquet (into `output`, or else a folder of its own), memory (in the driver) or foreach (each_batch(df, number))."""
+        """Starts the query. sink: parquet (into `output`, or else a folder of its own), memory (in the driver; windows and runs as with parquet) or foreach (each_batch(df, number))."""
         frame, shared = self.frame(path, files_each), shared_dir(self.session.spark)
-        writer = frame.writeStream.outputMode("append").option("checkpointLocation", checkpoint or f"{shared}/{self.name}/checkpoint")
+        checkpoint = checkpoint or f"{shared}/{self.name}/checkpoint"
+        writer = frame.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
         if once:
             writer = writer.trigger(availableNow=True)
-        self.schema = frame.schema
-        if sink == "memory":
+        if sink == "foreach":
+            writer = writer.foreachBatch(self.follow(checkpoint, each_batch) if self.operator else each_batch)
+        elif self.operator:
+            if sink not in ("parquet", "memory"):
+                raise E.InvalidSQLStatement(f"windows and runs of a stream don't go to {sink}")
+            self.output = output or f"{shared}/{self.name}/rows"
+            writer = writer.foreachBatch(self.follow(checkpoint, self.appender()))
+        elif sink == "memory":
             writer = writer.format("memory").queryName(self.name)
-        elif sink == "foreach":
-            writer = writer.foreachBatch(each_batch)
         else:
             self.output = output or f"{shared}/{self.name}/rows"
             writer = writer.format(sink).option("path", self.output)

@@ -1,50 +1,28 @@
-"""Row-count windows and runs as operators that keep their state between micro-batches.
+"""Row-count windows and runs of a stream, a micro-batch at a time.
 
-Both follow one sequence of rows, so they have one key and one task: the order of the rows is
-what they are about. For stored tables, operators.arrival gives the same rows in parallel.
+A micro-batch is dealt by ranges and frozen as a stored table is (operators.arrival), so it may be
+of any size and no task holds it. What a batch leaves to the next one is small: the last n - 1 rows
+before a window of n is full, or the totals of the run that is still open.
 
-Values come as arrays of one value, or none for a null, so that pandas neither turns a column of
-integers with nulls into floats nor nulls into NaN. Rows of equal sequence values in a batch come in the order of their other columns.
+Rows of equal sequence values in a batch come in the order of their other columns, nulls first;
+rows of an earlier batch come before those of a later one, whatever their sequence.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator, Sequence
+import functools
+from collections.abc import Callable, Sequence
 from itertools import accumulate
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-STATE, KEY = "state binary", "_one"
+from ..operators import arrival
+from ..operators.arrival import PLACE, RUN
 
-
-def packed(name: str) -> Column:
-    """A column as the operators take it."""
-    return F.array_compact(F.array(F.col(f"`{name}`"))).alias(name)
-
-
-def _value(array):
-    if not len(array):
-        return None
-    v = array[0]
-    return v.item() if isinstance(v, np.generic) and not isinstance(v, np.datetime64) else pd.Timestamp(v).to_pydatetime() if isinstance(v, np.datetime64) else v
-
-
-def _place(row: dict, names: Sequence[str]) -> tuple:
-    return tuple((row[c] is not None, row[c]) for c in names)
-
-
-def rows_of(frames: Iterator[pd.DataFrame], sequence: Sequence[str]) -> list[dict]:
-    """The rows of all chunks of a micro-batch, in order of arrival, nulls first."""
-    every = []
-    for f in frames:
-        names = [c for c in f.columns if c != KEY]
-        every += [dict(zip(names, row)) for row in zip(*[[_value(v) for v in f[c]] for c in names])]
-    names = [*sequence, *(sorted(set(every[0]) - set(sequence)) if every else ())]
-    return sorted(every, key=lambda r: _place(r, names))
+#: The place of a row that an earlier batch has left, from 1; later rows have LATE.
+TURN, LATE, LAST = "_turn", 1 << 62, "_last"
 
 
 def _both(combine: Callable) -> Callable:
@@ -71,7 +49,7 @@ def divided(total, n: int, integral: bool):
 
 
 def sliding(function: str | None, values: list, n: int, integral: bool) -> list:
-    """An aggregate of every n neighbours; None is null. Without a function, the oldest value."""
+    """What RowWindow gives for one column, in plain Python: an aggregate of every n neighbours; None is null. Without a function, the oldest value."""
     if len(values) < n:
         return []
     if function is None:
@@ -89,59 +67,91 @@ def sliding(function: str | None, values: list, n: int, integral: bool) -> list:
     return [None if not k else divided(t, k, integral) for t, k in zip(totals, known)]
 
 
+class Scratch:
+    """What a micro-batch has frozen so far; `spark` reads it, with its own settings instead of the stream's."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    def frozen(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def placed(self, df: DataFrame, sequence: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+        """df frozen, and with its rows' places; by one task if it has a block's rows at most."""
+        rows = self.frozen(df, "batch")
+        if rows.count() <= arrival.BLOCK:
+            return rows, arrival.few(rows, sequence)
+        return rows, arrival.numbered(self.frozen(arrival.dealt(rows, sequence), "ranges"), sequence)
+
+
+#: What the batch before has left, read with this schema in this session; None before the first batch.
+Left = Callable[[object, StructType], DataFrame] | None
+
+
 class RowWindow:
-    """outputs: (result name, function or None, column, integral); without a function, the oldest row's value."""
+    """build: the result columns over a window, as for operators.arrival."""
 
-    def __init__(self, sequence: Sequence[str], n: int, outputs: Sequence[tuple]):
-        self.sequence, self.n, self.outputs = sequence, n, outputs
+    def __init__(self, sequence: Sequence[str], n: int, build: Callable[[Window], Sequence[Column]]):
+        self.sequence, self.n, self.build = [TURN, *sequence], n, build
 
-    def __call__(self, key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = (pickle.loads(state.get[0]) if state.exists else []) + rows_of(frames, self.sequence)
-        state.update((pickle.dumps(rows[len(rows) - self.n + 1 :] if len(rows) >= self.n else rows),))
-        if len(rows) >= self.n:
-            columns = {name: sliding(f, [1 if c is None else r[c] for r in rows], self.n, whole) for name, f, c, whole in self.outputs}
-            yield pd.DataFrame({name: pd.Series(v, dtype=object) for name, v in columns.items()})
+    def __call__(self, batch: DataFrame, left: Left, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+        """A row for each window that the batch completes, and the rows that the next one needs."""
+        rows = batch.withColumn(TURN, F.lit(LATE))
+        if left:
+            rows = left(batch.sparkSession, rows.schema).unionByName(rows)
+        rows, placed = scratch.placed(rows, self.sequence)
+        order = arrival.order_of(rows, self.sequence)
+        last = rows.orderBy(*[c.desc() for c in order]).limit(self.n - 1)
+        turned = last.withColumn(TURN, F.row_number().over(Window.orderBy(*order)).cast(LongType()))  # n - 1 rows
+        return arrival.windows_of(placed, self.n, self.build), turned
 
 
 class Runs:
-    """A row for each run of equal keys, when a row of another key has ended it; the open run is held back."""
+    """A row for each run of equal keys, when a row of another key has ended it; the open run is held back.
+
+    outputs: (result name, function or None, column, integral); without a function, the column is a key.
+    """
 
     def __init__(self, sequence: Sequence[str], keys: Sequence[str], outputs: Sequence[tuple]):
         self.sequence, self.keys, self.outputs = sequence, keys, outputs
 
-    def add(self, totals: list, row: dict) -> None:
-        for k, (_, f, c, _) in enumerate(self.outputs):
-            v = 1 if c is None else row[c]
-            if f is None or f == "LAST":
-                totals[k] = v
-            elif v is not None:
-                n, total, least, most = totals[k] or (0, 0, v, v)
-                number = isinstance(v, (int, float))
-                totals[k] = (n + 1, total + v if number else 0, min(least, v), max(most, v))
-
-    def result(self, totals: list) -> dict:
+    def totals(self) -> dict[str, tuple[Column, Callable[[Column], Column]]]:
+        """What is known of a part of a run, and how that of two parts is put together."""
         out = {}
-        for t, (name, f, _, whole) in zip(totals, self.outputs):
-            if f is None or f == "LAST":
-                out[name] = t
-            elif f == "COUNT":
-                out[name] = t[0] if t else 0
-            elif not t:
-                out[name] = None
-            else:
-                out[name] = divided(t[1], t[0], whole) if f == "AVG" else t[{"SUM": 1, "MIN": 2, "MAX": 3}[f]]
+        for k, (_, f, c, _) in enumerate(self.outputs):
+            column = F.lit(1) if c is None else F.col(f"`{c}`")
+            if f in ("COUNT", "AVG"):
+                out[f"_n{k}"] = (F.count(column), F.sum)
+            if f in ("SUM", "AVG"):
+                out[f"_s{k}"] = (F.sum(column), F.sum)
+            if f in ("MIN", "MAX"):
+                out[f"_v{k}"] = (F.min(column), F.min) if f == "MIN" else (F.max(column), F.max)
+            if f == "LAST":
+                out[f"_v{k}"] = (F.max_by(F.struct(column.alias("v")), F.col(PLACE))["v"], lambda v: F.max_by(F.struct(v.alias("v")), F.col("_part"))["v"])
         return out
 
-    def __call__(self, key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        at, totals = pickle.loads(state.get[0]) if state.exists else (None, None)
+    def results(self) -> list[Column]:
         out = []
-        for row in rows_of(frames, self.sequence):
-            now = tuple(row[c] for c in self.keys)
-            if totals is None or now != at:
-                if totals is not None:
-                    out.append(self.result(totals))
-                at, totals = now, [None] * len(self.outputs)
-            self.add(totals, row)
-        state.update((pickle.dumps((at, totals)),))
-        if out:
-            yield pd.DataFrame({o[0]: pd.Series([r[o[0]] for r in out], dtype=object) for o in self.outputs})
+        for k, (name, f, c, whole) in enumerate(self.outputs):
+            n, total = F.col(f"_n{k}"), F.col(f"_s{k}")
+            mean = F.when(n > 0, F.call_function("div", total, n) if whole else total / n)
+            out.append((F.col(f"`{c}`") if f is None else n if f == "COUNT" else total if f == "SUM" else mean if f == "AVG" else F.col(f"_v{k}")).alias(name))
+        return out
+
+    def __call__(self, batch: DataFrame, left: Left, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+        """A row for each run that the batch ends, and the totals of the one it leaves open."""
+        totals, keys = self.totals(), [F.col(f"`{k}`") for k in self.keys]
+        numbered = arrival.runs_of(scratch.placed(batch, self.sequence)[1], self.keys)
+        parts = scratch.frozen(numbered.groupBy(RUN, *keys).agg(*[total.alias(n) for n, (total, _) in totals.items()]), "runs")
+        every = parts
+        if left:
+            # the run that was open goes on if the first one has its key
+            first = parts.where(F.col(RUN) == 1).select(*[k.alias(f"_k{i}") for i, k in enumerate(keys)], F.lit(1).cast(LongType()).alias(RUN))
+            same = functools.reduce(Column.__and__, [k.eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+            held = left(parts.sparkSession, parts.drop(RUN).schema).join(F.broadcast(first), same, "left").fillna(0, [RUN]).select(*parts.columns)
+            both = held.withColumn("_part", F.lit(0)).unionByName(parts.where(F.col(RUN) == 1).withColumn("_part", F.lit(1)))
+            merged = both.groupBy(RUN, *keys).agg(*[add(F.col(n)).alias(n) for n, (_, add) in totals.items()])
+            every = merged.unionByName(parts.where(F.col(RUN) > 1))
+        last = F.broadcast(every.agg(F.max(RUN).alias(LAST)))
+        return every.join(last, F.col(RUN) < F.col(LAST)).select(*self.results()), every.join(last, F.col(RUN) == F.col(LAST)).drop(RUN, LAST)

@@ -558,3 +558,33 @@ def test_a_join_on_frequent_keys_is_made_in_pieces(spark, tmp_path, monkeypatch)
         most = max(got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
         assert values(got) == sorted(want, key=repr)
         assert most < len(want) / 4
+
+
+def log_of(spark, folder, schema, batches):
+    """A session over a table of one file a batch, each a micro-batch of its stream."""
+    import os
+
+    folder.mkdir()
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"of{k}"))
+        (file,) = (folder / f"of{k}").glob("part-*.parquet")
+        os.utime(file.rename(folder / f"{k}.parquet"), (1_700_000_000 + k, 1_700_000_000 + k))
+    return Session(spark, Catalog([Entity("t", StructType.fromDDL(schema), id="i", path=f"{folder}/*.parquet")]))
+
+
+RUNS = "SELECT STREAM k, COUNT(*) n, COUNT(v) c, SUM(v) s, AVG(v) m, MIN(v) a, MAX(v) z, LAST(v) l FROM t WHERE i > 0 GROUP BY k"
+
+
+@pytest.mark.parametrize("block", [1 << 16, 1])
+def test_stream_runs_over_many_batches_keep_no_batch_in_a_task(spark, tmp_path, monkeypatch, block):
+    """A run may go on through whole batches, nulls are a key, a batch may be empty; no operator keeps rows as its state."""
+    keys = [["a", "a"], ["a"], ["a", None], [None, "b", "b"], ["b"], ["c", "a"]]
+    rows = iter(range(1, 99))
+    batches = [[(i, k, i * 3 if i % 4 else None) for k, i in zip(ks, rows)] for ks in keys]
+    s = log_of(spark, tmp_path / "log", "i long, k string, v int", [*batches[:2], [(-1, "z", 1)], *batches[2:]])
+    monkeypatch.setattr("millrace.operators.arrival.BLOCK", block, raising=False)
+    live = s.execute(RUNS).start(once=True)
+    got = [tuple(r) for r in live.results().collect()]
+    assert sorted(got, key=repr) == values(s.replay(RUNS))
+    assert sorted((r[:3] for r in got), key=repr) == sorted([("a", 4, 3), (None, 2, 2), ("b", 3, 2), ("c", 1, 1)], key=repr)
+    assert len(live.progress) == 7 and not any(p["stateOperators"] for p in live.progress)
