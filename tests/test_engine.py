@@ -588,3 +588,16 @@ def test_stream_runs_over_many_batches_keep_no_batch_in_a_task(spark, tmp_path,
     assert sorted(got, key=repr) == values(s.replay(RUNS))
     assert sorted((r[:3] for r in got), key=repr) == sorted([("a", 4, 3), (None, 2, 2), ("b", 3, 2), ("c", 1, 1)], key=repr)
     assert len(live.progress) == 7 and not any(p["stateOperators"] for p in live.progress)
+
+
+def test_stream_windows_longer_than_a_batch(spark, tmp_path, monkeypatch):
+    """Rows that several batches have left, later rows of lesser sequence, and a first batch in many ranges."""
+    sizes, rows = (20, 2, 1, 3), iter([*range(20), *range(30, 32), 5, 40, 41, 42])
+    batches = [[(next(rows), "abc"[j % 3], j or None) for j in range(n)] for n in sizes]
+    s = log_of(spark, tmp_path / "log", "i long, k string, v int", batches)
+    monkeypatch.setattr("millrace.operators.arrival.BLOCK", 7, raising=False)
+    live = s.execute("SELECT STREAM i, COUNT(v) n, SUM(v) s, LAST(k) l FROM t WINDOW BY i INTERVAL = 6").start(once=True)
+    flat = [r for b in batches for r in b]
+    spans = [flat[a : a + 6] for a in range(len(flat) - 5)]
+    assert values(live.results()) == sorted([(w[0][0], sum(r[2] is not None for r in w), sum(r[2] or 0 for r in w), w[-1][1]) for w in spans], key=repr)
+    assert not any(p["stateOperators"] for p in live.progress)
