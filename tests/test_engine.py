@@ -601,3 +601,16 @@ def test_stream_windows_longer_than_a_batch(spark, tmp_path, monkeypatch):
     spans = [flat[a : a + 6] for a in range(len(flat) - 5)]
     assert values(live.results()) == sorted([(w[0][0], sum(r[2] is not None for r in w), sum(r[2] or 0 for r in w), w[-1][1]) for w in spans], key=repr)
     assert not any(p["stateOperators"] for p in live.progress)
+
+
+def test_a_repeated_batch_gives_its_windows_once(spark, tmp_path):
+    """A batch whose end was not recorded is made anew after a restart, from what the one before it left."""
+    log, at, out = tmp_path / "log", tmp_path / "at", tmp_path / "out"
+    s = log_of(spark, log, "i long, k string, v int", [[(i, "a", i) for i in range(5)], [(i, "b", i) for i in range(5, 9)]])
+    start = lambda: s.execute("SELECT STREAM i, SUM(v) s FROM t WINDOW BY i INTERVAL = 3").start(once=True, output=str(out), checkpoint=str(at)).results()
+    want = [(i, 3 * i + 3) for i in range(7)]
+    assert values(start()) == want
+    (at / "commits" / "1").unlink()
+    (at / "commits" / ".1.crc").unlink(missing_ok=True)
+    left = sorted(p.name for p in (at / "left").iterdir() if not p.name.startswith("."))
+    assert values(start()) == want and left == ["0", "1"]
