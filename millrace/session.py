@@ -164,7 +164,8 @@ class Session:
             raise E.InvalidTableDescription("generated ids are for single rows; give a DataFrame its ids by with_ids()")
         elif e.id and not e.append_only:
             others = F.struct(*[n for n in names if n != e.id])
-            rows = rows.groupBy(e.id).agg(F.max(others).alias("_others")).select(*[F.col(e.id) if n == e.id else F.col("_others")[n].alias(n) for n in names])
+            # dealt first: a sort of each task's whole input before it would grow with the files
+            rows = rows.repartition(F.col(e.id)).groupBy(e.id).agg(F.max(others).alias("_others")).select(*[F.col(e.id) if n == e.id else F.col("_others")[n].alias(n) for n in names])
         with self.metrics.timed("persist"):
             added = self.store.write(e.name, rows.select(*names))  # once: ids are looked up in what has been written
             change = self._change(e)

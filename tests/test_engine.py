@@ -614,3 +614,31 @@ def test_a_repeated_batch_gives_its_windows_once(spark, tmp_path):
     (at / "commits" / ".1.crc").unlink(missing_ok=True)
     left = sorted(p.name for p in (at / "left").iterdir() if not p.name.startswith("."))
     assert values(start()) == want and left == ["0", "1"]
+
+
+def test_process_moves_no_rows_to_find_the_removed_ones(spark, store, monkeypatch):
+    from millrace.sources.store import Store
+
+    class Edges:
+        """A processor that removes rows around the edges of bytes and blocks of row numbers."""
+
+        def process(self, row: dict) -> bool:
+            return row["id"] % 32768 in (0, 7, 8, 9, 32767) or row["id"] > 69990
+
+        def delete(self) -> bool:
+            return True
+
+    a, plans, write = store(), [], Store.write
+    monkeypatch.setattr(Store, "write", lambda self, table, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(self, table, df))
+    a.persist("log", spark.range(70000).selectExpr("id", "int(id * 2) v").coalesce(1))
+    a.commit()
+    a.register_processor("Edges", Edges)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = a.execute("PROCESS log WITHIN Edges WHERE id <> 8")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    one = Edges()
+    assert [r[0] for r in left.orderBy("id").collect()] == [i for i in range(70000) if i == 8 or not one.process({"id": i})]
+    assert len(plans) == 2 and "SortMergeJoin" not in plans[1]
